@@ -1,0 +1,30 @@
+"""The queries of this subpackage; each takes (spark, sf_dir) and returns a DataFrame."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import read_table as _read
+from ._common import Scratch
+from .copies import copy_classes, copy_pairs
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copy_pairs(Scratch(spark, "p1"), _read(spark, sf_dir, "kernel_rows", "uuid", "python_code"), "uuid", "python_code", "uuid_a", "uuid_b")
+
+
+def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per class of copies, with the number of its copies."""
+    rows = copy_classes(Scratch(spark, "p1c"), _read(spark, sf_dir, "kernel_rows", "uuid", "python_code"), "uuid", "python_code")
+    return rows.where("id = class_id").select(F.col("id").alias("uuid"), F.col("copies").alias("n_copies")).distinct()
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p1_found": p1_found, "p1_copies": p1_copies}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
