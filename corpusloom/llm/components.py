@@ -45,7 +45,7 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         if parents is None:
             parents = scratch.table(vertices.join(hooks, "v", "left").select("v", F.coalesce("p", "v").alias("p")), "parents")
         else:
-            new = scratch.table(parents.join(hooks.withColumnsRenamed({"v": "p", "p": "h"}), "p", "left").select("v", F.coalesce("h", "p").alias("p")), "parents")
+            new = scratch.table(parents.join(hooks.select(F.col("p").alias("h"), F.col("v").alias("p")), "p", "left").select("v", F.coalesce("h", "p").alias("p")), "parents")
             scratch.drop(parents)
             parents = new
         parents = _shortcut(scratch, parents)

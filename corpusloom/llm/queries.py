@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import read_table as _read
 from ._common import Scratch
 from .copies import copy_classes, copy_pairs
+from .neardup import near_duplicate_groups, near_duplicate_pairs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +23,22 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("id = class_id").select(F.col("id").alias("uuid"), F.col("copies").alias("n_copies")).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["python_code", "triton_code"]
+    return near_duplicate_pairs(Scratch(spark, "p4"), _read(spark, sf_dir, "kernel_rows", "uuid", *fields), "uuid", fields, "uuid_a", "uuid_b")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with words and its group, named by the group's smallest uuid, with the group's size."""
+    fields = ["python_code", "triton_code"]
+    scratch = Scratch(spark, "p4g")
+    grouped = scratch.table(near_duplicate_groups(scratch, _read(spark, sf_dir, "kernel_rows", "uuid", *fields), "uuid", fields), "groups")
+    named = grouped.groupBy("field", "root").agg(F.min("id").alias("group_uuid"), F.count("*").alias("group_size"))
+    return grouped.join(named, ["field", "root"]).select(F.col("field").alias("field_name"), F.col("id").alias("uuid"), "group_uuid", "group_size")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p4_found": p4_found, "p4_groups": p4_groups}
 
 
 def oracle_sql() -> dict[str, str]:
