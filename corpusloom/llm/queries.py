@@ -11,6 +11,8 @@ from ..session import read_table as _read
 from ._common import Scratch
 from .copies import copy_classes, copy_pairs
 from .neardup import near_duplicate_groups, near_duplicate_pairs
+from .overlap import coverage, cross_split_pairs, splits_of
+from .splits import assign_splits, module_group, torn_modules
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +39,40 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(named, ["field", "root"]).select(F.col("field").alias("field_name"), F.col("id").alias("uuid"), "group_uuid", "group_size")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, splits = _read(spark, sf_dir, "kernel_rows", "uuid", "python_code"), splits_of(_read(spark, sf_dir, "validation", "task", "split_name"))
+    return cross_split_pairs(Scratch(spark, "p3"), rows, "uuid", "python_code", splits, "uuid_a", "uuid_b")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source: rows of the split that stand in training too, and their overlapping pairs."""
+    scratch = Scratch(spark, "p3c")
+    rows = _read(spark, sf_dir, "kernel_rows", "uuid", "python_code", "repo_link")
+    splits = splits_of(_read(spark, sf_dir, "validation", "task", "split_name"))
+    pairs = scratch.table(cross_split_pairs(scratch, rows, "uuid", "python_code", splits, "a", "b"), "pairs")
+    held = pairs.select("split_name", F.explode(F.array("a", "b")).alias("id")).join(splits, ["id", "split_name"])
+    source = rows.select(F.col("uuid").alias("id"), F.coalesce(F.nullif(F.trim("repo_link"), F.lit("")), F.lit("(none)")).alias("source"))
+    return held.join(source, "id").groupBy("split_name", "source").agg(F.countDistinct("id").alias("n_rows"), F.count("*").alias("n_pairs"))
+
+
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, splits = _read(spark, sf_dir, "kernel_rows", "uuid", "python_code"), splits_of(_read(spark, sf_dir, "validation", "task", "split_name"))
+    return coverage(Scratch(spark, "p3v"), rows, "uuid", "python_code", splits).withColumnRenamed("id", "uuid")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, splits = _read(spark, sf_dir, "kernel_rows", "uuid", "module_name"), splits_of(_read(spark, sf_dir, "validation", "task", "split_name"))
+    return torn_modules(Scratch(spark, "p5"), rows, "uuid", "module_name", splits).withColumnRenamed("id", "uuid")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new split of each row; rows of one module get the same."""
+    rows = _read(spark, sf_dir, "kernel_rows", "uuid", "module_name").withColumn("module_group", module_group("module_name"))
+    return assign_splits(Scratch(spark, "p5s"), rows, "uuid", ["module_group"]).select(F.col("id").alias("uuid"), "split")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p4_found": p4_found, "p4_groups": p4_groups}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p3_found": p3_found, "p3_counts": p3_counts, "p3_coverage": p3_coverage, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_splits": p5_splits}
 
 
 def oracle_sql() -> dict[str, str]:
