@@ -12,6 +12,7 @@ from ._common import Scratch
 from .copies import copy_classes, copy_pairs
 from .neardup import near_duplicate_groups, near_duplicate_pairs
 from .overlap import coverage, cross_split_pairs, splits_of
+from .parsing import rates, unparsable
 from .splits import assign_splits, module_group, torn_modules
 
 
@@ -39,6 +40,19 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.join(named, ["field", "root"]).select(F.col("field").alias("field_name"), F.col("id").alias("uuid"), "group_uuid", "group_size")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["python_code", "triton_code"]
+    bad = unparsable(Scratch(spark, "p2"), _read(spark, sf_dir, "kernel_rows", "uuid", *fields), "uuid", fields)
+    return bad.select(F.col("field").alias("field_name"), F.col("id").alias("uuid"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of refused texts per repository and language (the field)."""
+    fields = ["python_code", "triton_code"]
+    out = rates(Scratch(spark, "p2r"), _read(spark, sf_dir, "kernel_rows", "uuid", "repo_link", *fields), "uuid", fields, "repo_link")
+    return out.withColumnRenamed("source", "repo_link")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, splits = _read(spark, sf_dir, "kernel_rows", "uuid", "python_code"), splits_of(_read(spark, sf_dir, "validation", "task", "split_name"))
     return cross_split_pairs(Scratch(spark, "p3"), rows, "uuid", "python_code", splits, "uuid_a", "uuid_b")
@@ -72,7 +86,7 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p3_found": p3_found, "p3_counts": p3_counts, "p3_coverage": p3_coverage, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_splits": p5_splits}
+    return {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_counts": p3_counts, "p3_coverage": p3_coverage, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_splits": p5_splits}
 
 
 def oracle_sql() -> dict[str, str]:
