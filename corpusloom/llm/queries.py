@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..session import read_table as _read
 from ._common import Scratch
 from .copies import copy_classes, copy_pairs
+from .encode import encode, round_trip
+from .leak import passages, proximity
 from .neardup import near_duplicate_groups, near_duplicate_pairs
 from .overlap import coverage, cross_split_pairs, splits_of
 from .parsing import rates, unparsable
+from .quality import kinds, statistics
 from .splits import assign_splits, module_group, torn_modules
 
 
@@ -85,8 +88,49 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_splits(Scratch(spark, "p5s"), rows, "uuid", ["module_group"]).select(F.col("id").alias("uuid"), "split")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(Scratch(spark, "p6"), _read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(Scratch(spark, "p6r"), _read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _leaks(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    return Scratch(spark, name), _read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", _read(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text"
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(*_leaks(spark, sf_dir, "p7")).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked: how many documents hold a passage, and the longest one in words."""
+    found = passages(*_leaks(spark, sf_dir, "p7i")).groupBy("item", "id").agg(F.max("length").alias("length"))
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("n_docs"), F.max("length").cast("long").alias("longest"))
+
+
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: documents that hold half of an item's terms close together, in any order."""
+    return proximity(*_leaks(spark, sf_dir, "p7n")).withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinds(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _read(spark, sf_dir, "common_words", "word"))
+
+
+_QUERIES = [
+    p1_found, p1_copies, p2_found, p2_rates, p3_found, p3_counts, p3_coverage, p4_found, p4_groups,
+    p5_found, p5_splits, p6_ids, p6_round_trip, p7_found, p7_items, p7_near, p8_found, p8_stats,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_copies": p1_copies, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_counts": p3_counts, "p3_coverage": p3_coverage, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_splits": p5_splits}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
