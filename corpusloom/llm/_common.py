@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a two-column side may be broadcast (about 16 MB); beyond it the plain shuffled join runs.
-BROADCAST_ROWS = 400_000
+#: Rows of two or three numbers up to which a side may be broadcast (about 24 MB); beyond it a shuffled join runs.
+BROADCAST_ROWS = 1_000_000
 #: Members of a group that one task pairs with as many others.
 PAIR_BLOCK = 1024
 
@@ -58,10 +58,15 @@ class Scratch:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
     def drop(self, *frames: DataFrame) -> None:
+        """Delete written tables that nothing reads any more, and let Spark delete the shuffle files behind them.
+
+        Spark deletes a shuffle's files once the driver's JVM has collected the plan that made it, so that is asked for.
+        """
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
                 self._delete(path)
+        self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         try:
@@ -76,6 +81,12 @@ def guarded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def first_of_each(scratch: Scratch, signed: DataFrame, node: str = "node") -> DataFrame:
+    """One row of the written table *signed* (with a unique column row) for each node."""
+    first = scratch.table(signed.groupBy(node).agg(F.min("row").alias("row")).select("row"), "first")
+    return signed.join(guarded_broadcast(first), "row", "left_semi")
+
+
 def mix(*cols: Column) -> Column:
     """One 64-bit key of several columns."""
     return F.xxhash64(*cols)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, guarded_broadcast, pairs_within
+from ._common import Scratch, first_of_each, guarded_broadcast, pairs_within
 from .linking import groups, jaccard_verifier, link
 from .shingles import Batch, WordHashes, minhash, one_wildcard_keys
 
@@ -65,12 +65,11 @@ def near_duplicate_groups(scratch: Scratch, rows: DataFrame, key: str, fields: l
     texts, it belongs to each of their groups.
     """
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *fields)
-    signed = scratch.table(plain.mapInArrow(_signed(fields), "field string, id long, node long, keys array<long>"), "signed")
-    members = signed.select("field", "id", "node").distinct()
-    # Copies of a word sequence have the same keys; the first of them stands for all.
-    first = signed.groupBy("node").agg(F.min("id").alias("id"))
-    entries = signed.join(first, ["node", "id"]).dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"), F.size("keys").alias("keys"))
-    entries = scratch.table(entries, "entries")
+    signed = plain.mapInArrow(_signed(fields), "field string, id long, node long, keys array<long>")
+    signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    members = scratch.table(signed.select("field", "id", "node").distinct(), "members")
+    # Copies of a word sequence have the same keys; one of them stands for all.
+    entries = first_of_each(scratch, signed).select("node", F.explode("keys").alias("key"), F.size("keys").alias("keys"))
     links = link(scratch, entries, members.count(), jaccard_verifier(scratch, members, fetcher(plain, fields), RUN, threshold))
     return groups(scratch, members, links)
 
