@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import ast
 import re
+import symtable
 import warnings
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ CHUNK = 1 << 20
 CODE, SINGLE3, DOUBLE3 = 0, 1, 2
 
 _TOKEN = re.compile(
-    r"""\#[^\n\r]*|(?P<q>"{3}|'{3})|"(?:[^"\\\n\r]|\\[\s\S])*"?|'(?:[^'\\\n\r]|\\[\s\S])*'?|(?P<o>[(\[{])|(?P<c>[)\]}])|\\\r?[\n\r]|(?P<n>[\n\r](?=[^\s\#)\]}]))""",
+    r"""\#[^\n\r]*|\([^()\[\]{}"'\#\\]*+\)|\[[^()\[\]{}"'\#\\]*+\]|(?P<q>"{3}|'{3})|"(?:[^"\\\n\r]|\\[\s\S])*"?|'(?:[^'\\\n\r]|\\[\s\S])*'?|(?P<o>[(\[{])|(?P<c>[)\]}])|\\\r?[\n\r]|(?P<n>[\n\r](?=[^\s\#)\]}]))""",
 )
 _END = {SINGLE3: re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"), DOUBLE3: re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*+"""')}
 _CONTINUES = re.compile(r"(?:else|elif|except|finally)\b")
@@ -82,7 +83,16 @@ def compose(a: tuple[int, str, str, bool], b: tuple[int, str, str, bool]) -> tup
 
 
 def refused(text: str) -> bool:
-    """Whether the parser refuses *text* as a module."""
+    """Whether the parser refuses *text* as a module.
+
+    The symbol table is built on the same parse without making the tree's Python objects; it refuses more (names used
+    against their scope), so only what it refuses is parsed again.
+    """
+    try:
+        symtable.symtable(text, "<text>", "exec")
+        return False
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
+        pass
     try:
         compile(text, "<text>", "exec", ast.PyCF_ONLY_AST)
     except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
