@@ -133,5 +133,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
 
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
+_GRAMS = "list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))"
+_RATIO = "round(({0})::double / nullif({1}, 0), 6)"
+_SQL = {
+    "p5_found": r"""with s as (select distinct regexp_extract(task, '^\s*[A-Za-z]+[-/](\d+)', 1)::bigint as uuid, split_name from validation where split_name is not null),
+k as (select uuid, lower(regexp_replace(module_name, '^\s+|\s+$', '', 'g')) as module_group, split_name from kernel_rows join s using (uuid) where module_name is not null)
+select distinct module_group, uuid from k where module_group in (select module_group from k group by 1 having count(distinct split_name) > 1)""",
+    "p7_found": f"""with d as (select doc_id, {_WORDS.format('text')} as w from documents), b as (select item_id, {_WORDS.format('text')} as w from benchmark)
+select distinct doc_id, item_id from (select doc_id, unnest({_GRAMS}) as g from d where len(w) >= 12) join (select item_id, unnest({_GRAMS}) as g from b where len(w) >= 12) using (g)""",
+    "p8_stats": f"""with t as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, {_WORDS.format('t')} as w, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\s\\v\\x85\\p{{Z}}]+', '', 'g') <> '') as l from t),
+c as (select doc_id, count(*) as hits from (select doc_id, unnest(w) as word from w) where word in (select word from common_words) group by 1)
+select doc_id, len(w)::bigint as n_words, {_RATIO.format('list_sum(list_transform(w, lambda x: length(x)))', 'len(w)')} as mean_word_length,
+{_RATIO.format("length(regexp_replace(t, '[\\s\\v\\x85\\p{Z}\\p{L}\\p{N}]+', '', 'g'))", "length(regexp_replace(t, '[\\s\\v\\x85\\p{Z}]+', '', 'g'))")} as symbol_ratio,
+{_RATIO.format("len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;,][\\s\\v\\x85\\p{Z}]*$')))", "len(l)")} as line_end_share,
+{_RATIO.format('coalesce(hits, 0)', 'len(w)')} as common_share from w left join c using (doc_id)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
