@@ -231,7 +231,7 @@ def single_op_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical duplicates: lowest uuid per fingerprint that ignores comments, docstrings and formatting."""
     rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code").where("python_code is not null")
-    keyed = rows.select("uuid", code_facts("python_code", F.lit(""))["source_key"].alias("source_key"))
+    keyed = rows.select("uuid", code_facts("python_code", F.lit(""))["source_key"].alias("source_key")).persist()  # both sides of the join read it
     return dedup.keep_lowest(keyed, F.col("source_key"), "uuid").select("uuid", "source_key", dedup.duplicate_reason("uuid").alias("reason"))
 
 

@@ -42,12 +42,13 @@ def write_folders(files: DataFrame, root: str) -> None:
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(folder, path, text) of every file under the folders of *root*; folders with a space in the name are no records."""
-    base = "file:" + os.path.abspath(root) if "://" not in root else root
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(base)
-    rel = F.substring_index(F.expr("url_decode(input_file_name())"), os.path.basename(os.path.normpath(root)) + "/", -1)
-    full = F.regexp_replace(F.expr("url_decode(input_file_name())"), r"^file:/+", "/")
-    inside = F.substr(full, F.lit(len(os.path.abspath(root)) + 2)) if "://" not in root else rel
-    named = texts.select(inside.alias("p"), F.col("value").alias("text"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # Paths come as URIs; what follows the root's own path is the folder and the path within it.
+    base = root.rstrip("/") if "://" in root else os.path.abspath(root)
+    full = F.regexp_replace("path", r"^file:/+", "/") if "://" not in root else F.col("path")
+    inside = F.substr(full, F.lit(len(base) + 2))
+    texts = read.select(inside.alias("p"), F.decode("content", "UTF-8").alias("value"))
+    named = texts.select("p", F.col("value").alias("text"))
     return named.select(F.substring_index("p", "/", 1).alias("folder"), F.expr("substring(p, instr(p, '/') + 1)").alias("path"), "text").where(~F.col("folder").contains(" "))
 
 
