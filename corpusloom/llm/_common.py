@@ -57,16 +57,17 @@ class Scratch:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
-    def drop(self, *frames: DataFrame) -> None:
+    def drop(self, *frames: DataFrame, release: bool = True) -> None:
         """Delete written tables that nothing reads any more, and let Spark delete the shuffle files behind them.
 
-        Spark deletes a shuffle's files once the driver's JVM has collected the plan that made it, so that is asked for.
+        Spark deletes a shuffle's files once the driver's JVM has collected the plan that made it, so that is asked for (not for small tables: release=False).
         """
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
                 self._delete(path)
-        self.spark.sparkContext._jvm.System.gc()
+        if release:
+            self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         try:
