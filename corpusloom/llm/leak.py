@@ -62,7 +62,7 @@ _SCHEMA = "id long, term long, pos int, terms int"
 
 def _index(df: DataFrame, key: str, text: str, known=None, run: int = TERM) -> DataFrame:
     plain = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return plain.mapInArrow(_postings(known, run), _SCHEMA).dropDuplicates(["id", "term", "pos"]) if known is None else plain.mapInArrow(_postings(known, run), _SCHEMA)
+    return plain.mapInArrow(_postings(known, run), _SCHEMA).dropDuplicates(["id", "term", "pos"])  # a repeated row posts once
 
 
 def _known(scratch: Scratch, items: DataFrame):
@@ -85,6 +85,7 @@ def passages(scratch: Scratch, docs: DataFrame, doc_key: str, items: DataFrame,
     share; first is the word's number in the document, offset the document's position less the item's.
 
     Null keys are left out on both sides; null and empty texts and those of fewer than *run* words hold no passage.
+    Repeated rows count once; keys are taken to be unique otherwise.
     """
     postings, asked = build(scratch, docs, doc_key, items, item_key, text, run)
     k = run - TERM + 1
