@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, arrow_map, pairs_within
+from ._common import Scratch, arrow_map, guarded_broadcast, pairs_within
 from .canonical import canonical_words
 
 #: Canonical bytes that one bucket may hold.
@@ -28,6 +28,8 @@ CAPACITY = 8 << 20
 FIRST = 32
 #: Bytes of distinct texts that a task's own tries hold before they are passed on.
 FLUSH = 32 << 20
+#: Too large prefixes up to which they are literals of the plan.
+LITERALS = 1000
 #: Bytes of one trie edge.
 EDGE = 48
 
@@ -112,8 +114,12 @@ def _count(flush: int, final: bool):
     return run
 
 
-def radix_buckets(canon: DataFrame, capacity: int = CAPACITY, longest: int | None = None) -> DataFrame:
-    """*canon* (column canon) with the column bucket: the hash of the shortest prefix whose bucket fits."""
+def radix_buckets(canon: DataFrame, capacity: int = CAPACITY, longest: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """*canon* (column canon) with the column bucket: the hash of the shortest prefix whose bucket fits.
+
+    Prefixes that do not fit number at most depths x total bytes / capacity; up to LITERALS of them are written into
+    the plan, more are joined, broadcast behind a count of their rows.
+    """
     if longest is None:
         longest = canon.agg(F.max(F.length("canon"))).first()[0] or 0
     depths = [0]
@@ -121,16 +127,25 @@ def radix_buckets(canon: DataFrame, capacity: int = CAPACITY, longest: int | Non
         depths.append(depths[-1] * 2 or FIRST)
     prefixes = F.array(*(F.xxhash64(F.lit(d), F.substring("canon", 1, d)) for d in depths))
     sizes = canon.select(F.posexplode(prefixes).alias("level", "prefix"), F.length("canon").alias("len")).groupBy("level", "prefix").agg(F.sum("len").alias("bytes"))
-    # At most (depths x total bytes / capacity) prefixes are too large, a bounded share of the rows.
-    large = sizes.where(F.col("bytes") > capacity)
-    full: dict[int, list[int]] = {}
-    for level, prefix in large.select("level", "prefix").toLocalIterator():
-        full.setdefault(level, []).append(prefix)
+    # A prefix is too large only if all shorter ones are, so a row's depth is the first at which its prefix is not.
+    large = sizes.where(F.col("bytes") > capacity).select("level", "prefix")
+    few = large.limit(LITERALS + 1).collect()  # small tables: the prefixes go into the plan as literals
+    prefix = [F.xxhash64(F.lit(d), F.substring("canon", 1, d)) for d in depths]
+    if len(few) <= LITERALS:
+        at = {level: [r["prefix"] for r in few if r["level"] == level] for level in range(len(depths))}
+        too_large = [p.isin(at[level]) if at[level] else F.lit(False) for level, p in enumerate(prefix)]
+        marked = canon
+    else:
+        large = scratch.table(large, "large") if scratch else large.persist()
+        marked, too_large = canon, []
+        for level, p in enumerate(prefix):
+            own = large.where(F.col("level") == level).select(F.col("prefix").alias(f"_p{level}"), F.lit(True).alias(f"_l{level}"))
+            marked = marked.withColumn(f"_p{level}", p).join(guarded_broadcast(own), f"_p{level}", "left")
+            too_large.append(F.coalesce(F.col(f"_l{level}"), F.lit(False)))
     bucket = F.xxhash64(F.lit(-1), F.col("canon"))  # a text that fills a bucket alone
-    for level in range(len(depths) - 1, -1, -1):
-        prefix = F.xxhash64(F.lit(depths[level]), F.substring("canon", 1, depths[level]))
-        bucket = F.when(prefix.isin(full[level]), bucket).otherwise(prefix) if level in full else prefix
-    return canon.withColumn("bucket", bucket)
+    for p, full in zip(reversed(prefix), reversed(too_large)):
+        bucket = F.when(full, bucket).otherwise(p)
+    return marked.select(*canon.columns, bucket.alias("bucket"))
 
 
 def copy_classes(scratch: Scratch, rows: DataFrame, key: str, text: str, capacity: int = CAPACITY) -> DataFrame:
@@ -142,7 +157,7 @@ def copy_classes(scratch: Scratch, rows: DataFrame, key: str, text: str, capacit
     """
     plain = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     canon = scratch.table(arrow_map(plain, _canon, "id long, digest binary, canon binary"), "canon")
-    bucketed = radix_buckets(canon, capacity).select("bucket", "canon", F.lit(1).cast("long").alias("n"), F.col("id").alias("least"))
+    bucketed = radix_buckets(canon, capacity, scratch=scratch).select("bucket", "canon", F.lit(1).cast("long").alias("n"), F.col("id").alias("least"))
     schema = "bucket long, canon binary, n long, least long"
     local = bucketed.mapInArrow(_count(FLUSH, False), schema)
     whole = local.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(FLUSH, True), schema)

@@ -21,7 +21,7 @@ from .shingles import Batch, WordHashes
 
 TERM, RUN = 4, 12
 #: Terms of all items up to which they are broadcast (8 bytes each).
-VOCABULARY = 4_000_000
+VOCABULARY = 1_000_000
 
 
 def _postings(known, run: int):

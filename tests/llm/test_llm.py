@@ -100,11 +100,15 @@ def test_copies(spark, scratch, capacity):
     assert classes[3][0] == 3 and classes[3][1] == 48 and classes[205] == (205, 2) and classes[203] == (203, 2)
 
 
-def test_radix_buckets_split_hot_prefixes(spark):
+def test_radix_buckets_split_hot_prefixes(spark, monkeypatch):
     rows = [bytearray(b"import torch " * 20 + str(i).encode()) for i in range(300)] + [bytearray(b"same" * 50)] * 400
     df = spark.createDataFrame([(r,) for r in rows], "canon binary")
     sized = copies.radix_buckets(df, 5000).groupBy("bucket").agg(F.sum(F.length("canon")).alias("b"), F.countDistinct("canon").alias("d")).collect()
     assert all(r.b <= 5000 or r.d == 1 for r in sized) and len(sized) > 3
+    literal = {(bytes(r.canon), r.bucket) for r in copies.radix_buckets(df, 500).collect()}
+    monkeypatch.setattr(copies, "LITERALS", 2)
+    joined = copies.radix_buckets(df, 500)
+    assert joined.columns == ["canon", "bucket"] and joined.count() == 700 and {(bytes(r.canon), r.bucket) for r in joined.collect()} == literal
     assert copies.radix_buckets(df.limit(0), 10).count() == 0
 
 
