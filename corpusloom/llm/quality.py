@@ -27,11 +27,11 @@ LEAST = 200
 KINDS = ("list", "table", "junk")
 
 _CELL = re.compile(r"^(?:# %%.*|#\s*In\s*\[.*\]:?.*|```.*|~~~.*)$")
-_SPACES = re.compile(r"\s+")
 _MARK = re.compile(r"\s*(?:[-*+•‣◦▪–·]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxlc]{1,5})[.)]|\[[ xX]\])\s+\S")
 _CODE = re.compile(r"^\s*(?:import|from|def|class|return|for|while|if|elif|else|try|except|with|print|assert|raise|@)\b|[=(){};]|::|->")
 _END = re.compile(r"[.!?:…»\"”]$")
 _MARKUP = re.compile(r"\s*</?(?:table|thead|tbody|tr|td|th)\b", re.I)
+_RULE = re.compile(r"[\s|+:=\-─━┼┬┴├┤╪]+")
 _RUN = re.compile(r"(\S)\1{7,}")
 _UNIT = re.compile(r"(\S{2,32}?)\1{3,}")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1b]|\[\d*[mKJH]")
@@ -100,7 +100,8 @@ def _is_table(lines: list[str]) -> bool:
     if n < 3:
         return False
     # Bars, also with ruled lines between the rows.
-    rows = [x for x in lines if not re.fullmatch(r"[\s|+:=\-─━┼┬┴├┤╪]+", x)]
+    barred = sum("|" in x or "│" in x for x in lines) >= 0.4 * n
+    rows = [x for x in lines if not _RULE.fullmatch(x)] if barred else []
     if len(rows) >= 2:
         m, share = _modal([x.count("|") + x.count("│") for x in rows])
         if m >= 2 and share >= 0.8 and sum(x.strip()[:1] in "|│" for x in rows) >= 0.7 * len(rows):
@@ -108,6 +109,8 @@ def _is_table(lines: list[str]) -> bool:
         if m >= 1 and share >= 0.9 and len(rows) < n and not any("%" in x for x in rows):
             return True
     for d, least in (("\t", 1), (",", 2), (";", 2), ("|", 2)):
+        if sum(d in x for x in lines) < 0.8 * n:
+            continue
         counts = [x.strip().count(d) if d != "\t" else x.count(d) for x in lines]
         m, share = _modal(counts)
         if m >= least and share >= 0.8:
@@ -118,6 +121,8 @@ def _is_table(lines: list[str]) -> bool:
             if brief and plain and not (spaced and d in ",;" and sum(bool(_END.search(x.strip())) for x in lines) > 0.3 * n):
                 return True
     # Columns parted by blanks: the same number of cells, their right or left edges in the same places.
+    if sum("  " in x.strip() for x in lines) < 0.7 * n:
+        return False
     cells = [[m.span() for m in _COLUMNS.finditer(x)] for x in lines]
     m, share = _modal([len(c) for c in cells])
     ahead, part = _modal([len(c) for c in cells[1:]])
@@ -128,15 +133,14 @@ def _is_table(lines: list[str]) -> bool:
     return False
 
 
-def _is_junk(lines: list[str], text: str, solid: int) -> bool:
-    """Encoded, damaged, repeated or noise characters; *solid* is the number of characters other than white space."""
-    if 6 * len(_CONTROL.findall(text)) >= 0.1 * solid and len(_CONTROL.findall(text)) >= 0.5 * len(lines):
-        return True
-    if len(_BLOCKS.findall(text)) >= 0.08 * solid:
+def _is_junk(lines: list[str], text: str, solid: int, control: int) -> bool:
+    """Encoded, damaged, repeated or noise characters; *solid* is the number of characters other than white space,
+    *control* that of control sequences."""
+    if 6 * control >= 0.1 * solid and control >= 0.5 * len(lines):
         return True
     if sum(len(m[0]) for m in _RUN.finditer(text)) >= 0.5 * solid:
         return True
-    if len(_ODD.findall(text)) >= 0.15 * solid:
+    if not text.isascii() and len(_ODD.findall(text)) >= 0.15 * solid:
         return True
     if sum(map(len, _LONG.findall(text))) >= 0.5 * solid:
         return True
@@ -175,27 +179,28 @@ def _is_list(lines: list[str]) -> bool:
 def block_kind(lines: list[str]) -> tuple[str, int]:
     """(kind, characters other than white space) of a block of non-blank lines."""
     text = "\n".join(lines)
-    solid = len(_SPACES.sub("", text))
-    if _is_junk_first(text, solid):
+    solid = len("".join(text.split()))
+    control = len(_CONTROL.findall(text))
+    if _is_junk_first(text, solid, control):
         return "junk", solid
     if _is_table(lines):
         return "table", solid
     if _is_list(lines):
         return "list", solid
-    return ("junk" if _is_junk(lines, text, solid) else "other"), solid
+    return ("junk" if _is_junk(lines, text, solid, control) else "other"), solid
 
 
-def _is_junk_first(text: str, solid: int) -> bool:
+def _is_junk_first(text: str, solid: int, control: int) -> bool:
     """Noise that could pass for a table or a list: bars, control sequences, dumps."""
-    if len(_BLOCKS.findall(text)) >= 0.08 * solid:
+    wide = not text.isascii()
+    if wide and len(_BLOCKS.findall(text)) >= 0.08 * solid:
         return True
-    control = len(_CONTROL.findall(text))
     if control >= 2 and 12 * control >= 0.3 * solid:
         return True
     pairs = len(_HEX_PAIR.findall(text))
     if pairs >= 8 and pairs >= 0.7 * len(text.split()):
         return True
-    return len(_ODD.findall(text)) >= 0.25 * solid
+    return wide and len(_ODD.findall(text)) >= 0.25 * solid
 
 
 def shares(text: str) -> tuple[dict[str, int], int]:
@@ -209,7 +214,7 @@ def shares(text: str) -> tuple[dict[str, int], int]:
             kind, solid = block_kind(block)
             out[kind] += solid
             block = []
-    return out, len(_SPACES.sub("", text))
+    return out, len("".join(text.split()))
 
 
 def text_kind(text: str | None) -> str | None:
