@@ -115,7 +115,18 @@ def isolated_map(df: DataFrame, id_column: str, columns: list[str], check: str,
     return first.where("answered").select("id", "reason").unionByName(again.select("id", F.when(F.col("answered"), F.col("reason")).otherwise(LOST).alias("reason")))
 
 
-def parses(row: dict) -> str | None:
-    """A check that needs nothing but the parser: compiles the text, runs nothing."""
-    compile(row["python_code"] or "", "<row>", "exec", dont_inherit=True)
-    return None
+def map_with_errors(df: DataFrame, key: str, columns: list[str], call: Callable[[dict], str | None]) -> DataFrame:
+    """(key, result, error): *call* on each row, its exception as a value; the order of rows does not matter."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for values in frame.itertuples(index=False):
+                row = dict(zip((key, *columns), values))
+                try:
+                    out.append((row[key], call(row), None))
+                except Exception as e:
+                    out.append((row[key], None, f"{type(e).__name__}: {e}"[-500:]))
+            yield pd.DataFrame(out, columns=[key, "result", "error"])
+
+    return df.select(key, *columns).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, result string, error string")

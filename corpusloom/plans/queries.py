@@ -11,8 +11,9 @@ from ..functions import arrays, text
 from ..functions.code import code_facts
 from ..functions.fixed import DEV_BUCKETS, GATES, LICENSE_PREFIXES, SCAN_PATTERNS
 from ..operators import aggregates, dedup, episodes, groups, isolated, rules, sampling, validation
-from ..session import read_table
+from ..session import read_table, spread
 from ..sources import folders, records, registry
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -208,7 +209,7 @@ def head_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ast_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of each text by one parse: what the interface checks, size rules and operator counts need."""
-    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name").withColumn("f", code_facts("python_code", F.trim("module_name")))
+    rows = spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name")).withColumn("f", code_facts("python_code", F.trim("module_name")))
     n = arrays.elements("f.shapes")
     reason = rules.first_reason(rules.parse_reason("f.parses"), rules.shapes_reason("f.shapes"))
     return rows.select("uuid", "f.parses", "f.has_get_inputs", "f.has_get_init_inputs", "f.has_class", n.alias("elements"), F.size("f.shapes").alias("tensors"), F.col("f.ops").alias("ops"), reason.alias("reason"))
@@ -216,21 +217,21 @@ def ast_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name").select("uuid", F.explode(code_facts("python_code", F.trim("module_name"))["ops"]).alias("op"))
+    rows = spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name")).select("uuid", F.explode(code_facts("python_code", F.trim("module_name"))["ops"]).alias("op"))
     return aggregates.top_k(rows, "op", "op", 30)
 
 
 @query()
 def single_op_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each operator, the first row whose set of operators is just that."""
-    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name").select("uuid", code_facts("python_code", F.trim("module_name"))["ops"].alias("ops"))
+    rows = spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name")).select("uuid", code_facts("python_code", F.trim("module_name"))["ops"].alias("ops"))
     return rows.where(F.size("ops") == 1).groupBy(F.col("ops")[0].alias("op")).agg(F.min("uuid").alias("uuid"))
 
 
 @query()
 def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical duplicates: lowest uuid per fingerprint that ignores comments, docstrings and formatting."""
-    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code").where("python_code is not null")
+    rows = spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code").where("python_code is not null"))
     keyed = rows.select("uuid", code_facts("python_code", F.lit(""))["source_key"].alias("source_key")).persist()  # both sides of the join read it
     return dedup.keep_lowest(keyed, F.col("source_key"), "uuid").select("uuid", "source_key", dedup.duplicate_reason("uuid").alias("reason"))
 
@@ -238,14 +239,29 @@ def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def structure_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of each row's class under a fixed name; null where the class is missing."""
-    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name")
+    rows = spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code", "module_name"))
     return rows.select("uuid", code_facts("python_code", F.trim("module_name"))["structure_key"].alias("structure_key"))
 
 
 @query()
 def isolated_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row through a check in child processes; here the check compiles the text."""
-    return isolated.isolated_map(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code"), "uuid", ["python_code"], "corpusloom.operators.isolated:parses", batch=500).withColumnRenamed("id", "uuid")
+    return isolated.isolated_map(spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code")), "uuid", ["python_code"], "corpusloom.operators.checks:parses", batch=500).withColumnRenamed("id", "uuid")
+
+
+@query()
+def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order: static rules, duplicates, held-out classes (those of rows in dev or test), isolated check."""
+    rows = records.load_rows(spark, f"{sf_dir}/kernel_rows.parquet")
+    held = rows.join(_splits(spark, sf_dir).where("split_name in ('dev', 'test')"), "uuid", "left_semi")
+    keys = spread(held).select(code_facts("python_code", F.trim("module_name"))["structure_key"].alias("key")).where("key is not null")
+    return pipelines.filter_pipeline(rows, keys, "corpusloom.operators.checks:parses")
+
+
+@query()
+def profile_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size section of the profile."""
+    return pipelines.profile(records.load_rows(spark, f"{sf_dir}/kernel_rows.parquet"))["sizes"]
 
 
 # ---- splits -----------------------------------------------------------------------------------------------------

@@ -46,3 +46,10 @@ def read_table(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> D
     """One of the driver's parquet tables, with only the columns asked for."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """*df* over at least as many partitions as there are cores, for steps that cost far more CPU than a shuffle of
+    their input.  A table of many files has more partitions than that and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -119,7 +119,7 @@ def test_isolation(spark, tmp_path, monkeypatch):
 
 def test_isolated_map_retries(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(("x = 1", "def broken(", "", None))] + [(None, "x")], "uuid bigint, python_code string")
-    got = {r.id: r.reason for r in isolated.isolated_map(df, "uuid", ["python_code"], "corpusloom.operators.isolated:parses", batch=2).collect()}
+    got = {r.id: r.reason for r in isolated.isolated_map(df, "uuid", ["python_code"], "corpusloom.operators.checks:parses", batch=2).collect()}
     assert got[0] is None and got[1].startswith("exec: SyntaxError") and got[2] is None and got[3] is None and len(got) == 4
     lost = {r.id: r.reason for r in isolated.isolated_map(df, "uuid", ["python_code"], "os:_exit", batch=4).collect()}
     assert set(lost.values()) >= {isolated.LOST} or all(v.startswith("exec:") for v in lost.values())
