@@ -11,25 +11,31 @@ from .dedup import small
 PASS = 1.0
 
 
-def summaries(episodes: DataFrame) -> DataFrame:
-    """(episode_id, task, reward, ok, stop, turns, output_tokens, seconds) of each episode, delivered once or more.
+def flatten(episodes: DataFrame, *extra: str) -> DataFrame:
+    """(episode_id, task, reward, ok, stop, turns, output_tokens, seconds) of each delivered episode, and *extra*.
 
-    Each episode has exactly one trace.  An empty reward map gives 0; null entries of it are skipped.
+    Each episode has exactly one trace.  An empty reward map gives 0; null entries of it are skipped.  No shuffle, so
+    it serves tables and streams alike.
     """
     t = only("traces")
-    flat = episodes.select("episode_id", t.alias("t"), F.coalesce("ok", F.lit(False)).alias("ok"), F.col("num_output_tokens").alias("output_tokens"))
+    flat = episodes.select(*extra, "episode_id", t.alias("t"), F.coalesce("ok", F.lit(False)).alias("ok"), F.col("num_output_tokens").alias("output_tokens"))
     return flat.select(
-        "episode_id", F.col("t.task.data.name").alias("task"), weighted_sum("t.rewards").alias("reward"), "ok", F.col("t.stop_condition").alias("stop"),
+        *extra, "episode_id", F.col("t.task.data.name").alias("task"), weighted_sum("t.rewards").alias("reward"), "ok", F.col("t.stop_condition").alias("stop"),
         flagged("t.nodes", "sampled").alias("turns"), "output_tokens", (last_end("t.timing") - F.col("t.timing.start_s")).alias("seconds"),
-    ).dropDuplicates(["episode_id"])
+    )
+
+
+def summaries(episodes: DataFrame) -> DataFrame:
+    """flatten, an episode that was delivered more than once counted once."""
+    return flatten(episodes).dropDuplicates(["episode_id"])
 
 
-def attempts_by_task(summary: DataFrame) -> DataFrame:
-    """Attempts, passes, pass rate, errors and means of the error-free attempts per task; a task with errors only is
-    left out.  One shuffle by task, after partial aggregation."""
+def attempts_by_task(summary: DataFrame, *by) -> DataFrame:
+    """Attempts, passes, pass rate, errors and means of the error-free attempts per task (and *by*); a task with
+    errors only is left out.  One shuffle by task, after partial aggregation."""
     ok = F.col("ok")
     good = lambda c: F.avg(F.when(ok, F.col(c)))
-    out = summary.groupBy("task").agg(
+    out = summary.groupBy("task", *by).agg(
         F.count_if(ok).alias("attempts"), F.count_if(ok & (F.col("reward") >= PASS)).alias("passes"), F.count_if(~ok).alias("errors"),
         good("turns").alias("mean_turns"), good("output_tokens").alias("mean_output_tokens"), good("seconds").alias("mean_seconds"))
     return out.where("attempts > 0").withColumn("pass_rate", F.col("passes") / F.col("attempts"))
