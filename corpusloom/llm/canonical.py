@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import re
 
+#: Brackets nested deeper than the language allows do not count.
+DEPTH = 200
+
 _SPACE = r"[ \t\x0b\x0c\xa0]"
 _TOKEN = re.compile(
     rf"""
@@ -81,6 +84,7 @@ def canonical_words(text: str | None) -> list[str]:
     base = _Frame("", False)
     top, stack = base, []
     imports: list[tuple[list[str], int, list[str]]] = []
+    deep = 0  # brackets beyond DEPTH that are open and do not count
     before = last = ""  # the last two words or closing brackets, to tell a call from a header
     for m in _TOKEN.finditer(text):
         kind, tok = m.lastgroup, m[0]
@@ -106,6 +110,8 @@ def canonical_words(text: str | None) -> list[str]:
                     top.lambdas -= 1
                 elif top.kind == "{":
                     top.flag = True
+            elif deep or (len(stack) >= DEPTH and tok in "([{"):
+                deep += 1 if tok in "([{" else -1
             elif tok in "([{":
                 stack.append(top)
                 top = _Frame(tok, tok == "(" and bool(last) and before not in ("def", "class"))

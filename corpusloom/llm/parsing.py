@@ -32,6 +32,7 @@ _TOKEN = re.compile(
     r"""\#[^\n\r]*|\([^()\[\]{}"'\#\\]*+\)|\[[^()\[\]{}"'\#\\]*+\]|(?P<q>"{3}|'{3})|"(?:[^"\\\n\r]|\\[\s\S])*"?|'(?:[^'\\\n\r]|\\[\s\S])*'?|(?P<o>[(\[{])|(?P<c>[)\]}])|\\\r?[\n\r]|(?P<n>[\n\r](?=[^\s\#)\]}]))""",
 )
 _END = {SINGLE3: re.compile(r"(?:[^'\\]|\\[\s\S]|'(?!''))*+'''"), DOUBLE3: re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*+"""')}
+_ENDLESS = re.compile(r"(?<!\w)(?:\w++\s*+\.\s*+){5000}")
 _CONTINUES = re.compile(r"(?:else|elif|except|finally)\b")
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
@@ -86,8 +87,11 @@ def refused(text: str) -> bool:
     """Whether the parser refuses *text* as a module.
 
     The symbol table is built on the same parse without making the tree's Python objects; it refuses more (names used
-    against their scope), so only what it refuses is parsed again.
+    against their scope), so only what it refuses is parsed again.  A dotted name of thousands of parts, for which the
+    parser needs memory by the square of their number, counts as refused.
     """
+    if len(text) > 20_000 and _ENDLESS.search(text):
+        return True
     try:
         symtable.symtable(text, "<text>", "exec")
         return False

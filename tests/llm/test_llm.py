@@ -159,6 +159,14 @@ def test_verdicts_equal_the_parser():
     assert sum(map(refuses, texts)) > 200
 
 
+def test_long_and_deep_texts_end():
+    texts = ["(" * 50_000 + "]" * 50_000, "".join(f"f(a{i}=" for i in range(20_000)) + ")" * 20_000, "it's " * 50_000, '\"\"\"a ' * 50_000 + "'''", "from " + "a." * 200_000, "ab+/" * 100_000]
+    for t in texts:
+        assert parsing.verdict(t) is not None or not refuses(t[:1000])
+        assert sorted(canonical_words(t)) == sorted(words(t))
+        quality.text_kind(t)
+
+
 @SMALL
 @given(st.text(alphabet="a'\"()[]#\\\n{}:=", max_size=50), st.integers(1, 12))
 def test_summaries_compose(t, size):
