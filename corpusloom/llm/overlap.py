@@ -100,19 +100,38 @@ def cross_split_pairs(scratch: Scratch, rows: DataFrame, key: str, text: str, sp
     return both.select(F.when(F.col("sa") == TRAINING, F.col("sb")).otherwise(F.col("sa")).alias("split_name"), F.col("a").alias(a), F.col("b").alias(b))
 
 
+def _places(batches):
+    hashes = WordHashes()
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        b = Batch(batch.column(1).to_pylist(), hashes, SHORT)
+        if not b.index:
+            continue
+        short, begins = b.grams(SHORT)
+        blocks = [g.view(np.int64) for g in np.split(short, begins[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in b.index], pa.int64()), pa.array(b.node, pa.int64()), pa.array([len(g) + SHORT - 1 for g in blocks], pa.int32()), pa.array(blocks, pa.list_(pa.int64()))], ["id", "node", "words", "blocks"])
+
+
 def coverage(scratch: Scratch, rows: DataFrame, key: str, text: str, splits: DataFrame) -> DataFrame:
     """(id, split_name, words, covered, share): how many words of each evaluation text lie in spans of SHORT or more
-    words (at sampled places) that some training text holds too.  Texts without words are left out."""
+    words that some training text holds too.  A text of fewer words counts as SHORT words.  Texts without words are
+    left out."""
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("python_code"))
-    members, suffixes = _suffix_table(scratch, plain)
-    placed = scratch.table(members.join(splits, "id").select("id", "node", "split_name"), "placed")
-    training = placed.where(F.col("split_name") == TRAINING).select("node").distinct()
-    evaluation = placed.where(F.col("split_name").isin(*EVALUATION)).select("node").distinct()
-    held = suffixes.join(training, "node", "left_semi").select("short").distinct()
-    spans = suffixes.join(evaluation, "node", "left_semi").join(held, "short", "left_semi").select("node", "at").distinct()
+    placed = scratch.table(splits.where(F.col("split_name").isin(TRAINING, *EVALUATION)).select("id", "split_name").distinct(), "placed")
+
+    def places(names: list[str]) -> DataFrame:
+        ids = scratch.table(placed.where(F.col("split_name").isin(names)).select("id").distinct(), "ids")
+        return plain.join(guarded_broadcast(ids), "id", "left_semi").mapInArrow(_places, "id long, node long, words int, blocks array<long>")
+
+    signed = scratch.table(places([*EVALUATION]).withColumn("row", F.monotonically_increasing_id()), "evaluation")
+    texts = scratch.table(signed.select("id", "node", "words").distinct(), "texts")
+    blocks = first_of_each(scratch, signed).select("node", F.posexplode("blocks").alias("at", "short"))
+    asked = scratch.table(blocks.select("short").distinct(), "asked")
+    training = places([TRAINING]).select(F.explode(F.array_distinct("blocks")).alias("short"))
+    held = scratch.table(training.join(guarded_broadcast(asked), "short", "left_semi").distinct(), "held")
+    spans = blocks.join(guarded_broadcast(held), "short", "left_semi").select("node", "at")
     before = Window.partitionBy("node").orderBy("at")
     new = F.least(F.lit(SHORT), F.col("at") - F.coalesce(F.lag("at").over(before), F.lit(-SHORT)))
     covered = spans.withColumn("new", new).groupBy("node").agg(F.sum("new").alias("covered"))
-    lengths = suffixes.groupBy("node").agg(F.max("words").alias("words"))
-    out = placed.where(F.col("split_name").isin(*EVALUATION)).join(lengths, "node").join(covered, "node", "left")
+    out = placed.where(F.col("split_name").isin(*EVALUATION)).join(texts, "id").join(covered, "node", "left")
     return out.select("id", "split_name", F.col("words").cast("long").alias("words"), F.coalesce("covered", F.lit(0)).cast("long").alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("words"), 6)).distinct()

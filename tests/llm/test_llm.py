@@ -307,6 +307,16 @@ def test_cross_split_overlap(spark, scratch, seed):
     assert set(cover) == {i for i, t in rows if i is not None and words(t or "") and split[i] in ("dev", "test")}
 
 
+def test_coverage_takes_all_places(spark, scratch):
+    rng = random.Random(5)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+    other = [f"o{i}" for i in range(300)]
+    rows = [(1, " ".join(w)), (2, " ".join(w)), (3, " ".join(w[:100])), (4, " ".join(other[:150] + w[200:208] + other[150:])), (5, "none of these")]
+    at = spark.createDataFrame([(1, "train")] + [(i, "dev") for i in (2, 3, 4, 5)], "id long, split_name string")
+    got = {r.id: (r.words, r.covered, r.share) for r in overlap.coverage(scratch, spark.createDataFrame(rows, "uuid long, c string"), "uuid", "c", at).collect()}
+    assert {i: got[i] for i in (2, 3, 4)} == {2: (500, 500, 1.0), 3: (100, 100, 1.0), 4: (308, 8, round(8 / 308, 6))} and got[5][1] == 0
+
+
 def test_empty_tables(spark, scratch):
     df = spark.createDataFrame([], "uuid long, python_code string, module_name string")
     at = spark.createDataFrame([], "id long, split_name string")
