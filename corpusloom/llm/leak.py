@@ -107,9 +107,9 @@ def proximity(scratch: Scratch, docs: DataFrame, doc_key: str, items: DataFrame,
     """(id, item, terms, share): documents in which at least *share* of an item's distinct terms stand, in any order,
     within a stretch of *spread* times the item's length.  The best stretch counts.
 
-    Stretches start at multiples of the length and overlap by half, so a set of matches that spans at most half of a
-    stretch lies within one.  Terms are taken from the rarest half of each item first: a document without any of
-    those cannot reach a share of one half or more.
+    Every stretch counts, wherever it starts: an occurrence of a term adds it to the stretches that hold the occurrence
+    but not the one before, so a running sum over these bounds is the number of distinct terms.  Terms are taken from
+    the rarest half of each item first: a document without any of those cannot reach a share of one half or more.
     """
     postings, asked = build(scratch, docs, doc_key, items, item_key, text, TERM)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -120,8 +120,11 @@ def proximity(scratch: Scratch, docs: DataFrame, doc_key: str, items: DataFrame,
     rare = rated.where(F.col("nth") <= F.ceil((1 - F.lit(share)) * F.col("total")) + 1)
     pairs = scratch.table(postings.join(guarded_broadcast(rare.select("term", "item")), "term").select("id", "item").distinct(), "pairs")
     there = postings.join(guarded_broadcast(rated.select("term", "item", "size", "total")), "term").join(pairs, ["id", "item"], "left_semi")
-    step = F.floor(F.col("pos") / (F.col("size") * spread / 2))
-    spread_out = there.select("id", "item", "term", "total", F.explode(F.array(step, step - 1)).alias("stretch"))
-    found = spread_out.groupBy("id", "item", "stretch").agg(F.countDistinct("term").alias("terms"), F.max("total").alias("total"))
+    # Of starts after the term's last occurrence, those from which a stretch reaches pos; one less from pos + 1 on.
+    last = F.lag("pos").over(Window.partitionBy("id", "item", "term").orderBy("pos"))
+    start = F.greatest(F.col("pos") - F.col("size") * spread, F.coalesce(last, F.col("pos") - F.col("size") * spread)) + 1
+    bounds = there.withColumn("start", start).select("id", "item", "total", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("more")), F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("more")))).alias("e"))
+    steps = bounds.groupBy("id", "item", "total", "e.at").agg(F.sum("e.more").alias("more"))
+    found = steps.withColumn("terms", F.sum("more").over(Window.partitionBy("id", "item").orderBy("at")))
     best = found.groupBy("id", "item").agg(F.max("terms").alias("terms"), F.max("total").alias("total"))
     return best.where(F.col("terms") >= F.lit(share) * F.col("total")).select("id", "item", "terms", F.round(F.col("terms") / F.col("total"), 6).alias("share"))

@@ -441,6 +441,20 @@ def test_proximity(spark, scratch):
     assert set(got) == {1, 3} and got[3] == 1.0
 
 
+def test_proximity_takes_every_stretch(spark, scratch):
+    w = [f"t{i}" for i in range(103)]
+    item = " ".join(w)
+    docs = []
+    for shift in (0, 10, 55):
+        text = [f"x{i}" for i in range(400)]
+        text[90 + shift : 90 + shift + 28] = w[:28]
+        text[230 + shift : 230 + shift + 28] = w[60:88]
+        docs.append((shift, " ".join(text)))
+    docs.append((99, " ".join(w[:28] * 3)))
+    got = {r.id: (r.terms, r.share) for r in leak.proximity(scratch, spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", spark.createDataFrame([(9, item)], "item_id long, text string"), "item_id", "text").collect()}
+    assert got == {i: (50, 0.5) for i in (0, 10, 55)}
+
+
 # ---- quality
 
 LIST = "\n".join(f"- {a} {b}" for a, b in zip("harbour window candle market forest kitchen bottle garden teacher station".split() * 3, "one two three four five six seven eight nine ten".split() * 3))
