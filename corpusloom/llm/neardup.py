@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, first_of_each, guarded_broadcast, pairs_within
-from .linking import groups, jaccard_verifier, link
+from .linking import Jaccard, bit_marks, groups, link
 from .shingles import Batch, WordHashes, minhash, one_wildcard_keys
 
 RUN, THRESHOLD = 4, 0.6
@@ -34,23 +34,25 @@ def _signed(fields: list[str]):
                 b = Batch(batch.column(f + 1).to_pylist(), hashes, RUN, field + "\n")
                 if not b.index:
                     continue
-                keys = one_wildcard_keys(minhash(*b.grams(RUN), SEGMENTS * WIDTH), WIDTH)
+                grams, begins = b.grams(RUN)
+                sets = [np.unique(g) for g in np.split(grams, begins[1:])]
+                keys = one_wildcard_keys(minhash(grams, begins, SEGMENTS * WIDTH), WIDTH)
                 keys ^= np.uint64(f * 0x5851F42D4C957F2D & (2**64 - 1))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([field] * len(b.index)), pa.array([ids[i] for i in b.index], pa.int64()), pa.array(b.node, pa.int64()), flat], ["field", "id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([field] * len(b.index)), pa.array([ids[i] for i in b.index], pa.int64()), pa.array(b.node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bit_marks(sets), pa.list_(pa.int64())), flat], ["field", "id", "node", "size", "marks", "keys"])
 
     return run
 
 
 def fetcher(rows: DataFrame, fields: list[str]):
-    """Texts of chosen (field, id, node) rows; *rows* is (id, field columns)."""
+    """(node, text, field) of chosen (field, id, node) rows; *rows* is (id, field columns)."""
 
     def fetch(chosen: DataFrame) -> DataFrame:
         n = chosen.count()
         out = None
         for field in fields:
             part = chosen.where(F.col("field") == field).select("id", "node")
-            got = rows.select("id", F.col(field).alias("text")).join(guarded_broadcast(part, n), "id").select("node", "text")
+            got = rows.select("id", F.col(field).alias("text")).join(guarded_broadcast(part, n), "id").select("node", "text", F.lit(field).alias("field"))
             out = got if out is None else out.unionByName(got)
         return out
 
@@ -65,12 +67,15 @@ def near_duplicate_groups(scratch: Scratch, rows: DataFrame, key: str, fields: l
     texts, it belongs to each of their groups.
     """
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *fields)
-    signed = plain.mapInArrow(_signed(fields), "field string, id long, node long, keys array<long>")
+    signed = plain.mapInArrow(_signed(fields), "field string, id long, node long, size int, marks array<long>, keys array<long>")
     signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     members = scratch.table(signed.select("field", "id", "node").distinct(), "members")
     # Copies of a word sequence have the same keys; one of them stands for all.
-    entries = first_of_each(scratch, signed).select("node", F.explode("keys").alias("key"), F.size("keys").alias("keys"))
-    links = link(scratch, entries, members.count(), jaccard_verifier(scratch, members, fetcher(plain, fields), RUN, threshold))
+    first = scratch.table(first_of_each(scratch, signed).select("node", "size", "marks", "keys"), "firsts")
+    scratch.drop(signed)
+    entries = first.select("node", "size", F.explode("keys").alias("key"))
+    marks = first.select("node", "size", "marks")
+    links = link(scratch, entries, members.count(), Jaccard(scratch, members, marks, fetcher(plain, fields), RUN, threshold))
     return groups(scratch, members, links)
 
 

@@ -1,14 +1,13 @@
-"""Overlap across splits by a suffix array over all texts, cut into partitions.
+"""Overlap across splits by blocks of words that stand in several texts.
 
-The texts' words are one long sequence; a suffix starts at a word and is ordered by the hashes of its first ``SHORT``
-and first ``LONG`` words (or of all up to the text's end), which is a lexical order over blocks of words.  Sorted so,
-suffixes that share a long prefix are neighbours: a maximal run with equal ``SHORT`` block is the set of places where
-one span of at least SHORT words stands.  Every word of a text of at most ``DENSE`` words starts a suffix, elsewhere
-one in ``SPARSE``, chosen by the hash of the block itself, so that equal spans are sampled alike in all texts.
+The texts' words are one long sequence; a suffix starts at a word and is known by the hash of its first ``SHORT``
+words.  Suffixes with an equal block are the set of places where one span of at least SHORT words stands; they are
+brought together by an equality join of the blocks, which takes the place of a sorted suffix array.
 
-A run held by very many texts (an idiom) is cut by the longer block.  Runs then are the keys of :mod:`linking`, which
-links the texts of a run without pairing all of a hot one and checks each link exactly; groups come from the links of
-all texts, since texts of two splits may be linked by a third.  Shared spans also merge into per-record coverage.
+To find candidates, every word of a text of at most ``DENSE`` blocks starts a suffix, elsewhere one in ``SPARSE``,
+chosen by the hash of the block itself, so that equal spans are sampled alike in all texts.  The blocks are the keys of
+:mod:`linking`, which links the texts of a block without pairing all of a hot one and checks each link exactly; groups
+come from the links of all texts, since texts of two splits may be linked by a third.  Coverage takes all suffixes.
 """
 
 from __future__ import annotations
@@ -19,11 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, first_of_each, guarded_broadcast, pairs_within
-from .linking import HOT_LEAST, HOT_SHARE, groups, jaccard_verifier, link
+from .linking import Jaccard, bit_marks, groups, link, run_sets
 from .neardup import RUN, THRESHOLD, fetcher
 from .shingles import Batch, WordHashes
 
-SHORT, LONG, DENSE, SPARSE = 8, 24, 128, 4
+SHORT, DENSE, SPARSE = 8, 128, 4
 EVALUATION, TRAINING = ("dev", "test"), "train"
 
 
@@ -35,47 +34,22 @@ def _suffixes(batches):
         if not b.index:
             continue
         short, begins = b.grams(SHORT)
-        counts = np.diff(np.append(begins, len(short)))
-        text = np.repeat(np.arange(len(begins)), counts)
-        at = np.arange(len(short)) - begins[text]
-        # The longer block chains the short ones; near a text's end it is the last ones, marked by how many words are left.
-        left = counts[text] - at
-        long = short.copy()
-        for step in range(SHORT, LONG, SHORT):
-            ahead = np.minimum(at + step, counts[text] - 1) + begins[text]
-            long = (long ^ short[ahead]) * np.uint64(0xC2B2AE3D27D4EB4F)
-            long ^= long >> np.uint64(31)
-        long ^= np.minimum(left, LONG - SHORT + 1).astype(np.uint64)
-        keep = np.flatnonzero((counts[text] <= DENSE) | (short % np.uint64(SPARSE) == 0))
-        pos = np.searchsorted(text[keep], np.arange(len(begins) + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(pos), pa.array(v)) for v in (short[keep].view(np.int64), long[keep].view(np.int64), at[keep].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in b.index], pa.int64()), pa.array(b.node, pa.int64()), pa.array(counts + SHORT - 1, pa.int32()), *lists], ["id", "node", "words", "short", "long", "at"])
-
-
-def _suffix_table(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (field, id, node), written, and the suffixes (node, words, n, short, long, at) of one text per node."""
-    signed = rows.mapInArrow(_suffixes, "id long, node long, words int, short array<long>, long array<long>, at array<int>")
-    signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    members = scratch.table(signed.select(F.lit("python_code").alias("field"), "id", "node").distinct(), "members")
-    zipped = first_of_each(scratch, signed).select("node", "words", F.size("short").alias("n"), F.explode(F.arrays_zip("short", "long", "at")).alias("s"))
-    return members, zipped.select("node", "words", "n", "s.short", "s.long", "s.at")
-
-
-def _runs(scratch: Scratch, suffixes: DataFrame, texts: int) -> DataFrame:
-    """Entries (key, node, keys): a suffix under its short block, or its long block where the run is an idiom."""
-    hot = int(max(HOT_LEAST, HOT_SHARE * texts))
-    idioms = scratch.table(suffixes.groupBy("short").agg(F.count("*").alias("times")).where(F.col("times") > hot).select("short"), "idioms")
-    cut = suffixes.join(guarded_broadcast(idioms.withColumn("idiom", F.lit(True))), "short", "left")
-    return cut.select(F.when(F.col("idiom"), F.col("long")).otherwise(F.col("short")).alias("key"), "node", F.col("n").alias("keys"))
+        keys = [np.unique(g if len(g) <= DENSE else g[g % np.uint64(SPARSE) == 0]).view(np.int64) for g in np.split(short, begins[1:])]
+        sets = run_sets(batch.column(1).to_pylist(), RUN)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in b.index], pa.int64()), pa.array(b.node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bit_marks(sets), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "size", "marks", "keys"])
 
 
 def overlap_groups(scratch: Scratch, rows: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """(id, root) of each text with words; texts with an equal root are linked, directly or by a chain."""
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("python_code"))
-    members, suffixes = _suffix_table(scratch, plain)
-    texts = members.count()
-    verify = jaccard_verifier(scratch, members, fetcher(plain, ["python_code"]), RUN, threshold)
-    return groups(scratch, members, link(scratch, _runs(scratch, suffixes, texts), texts, verify)).select("id", "root")
+    signed = plain.mapInArrow(_suffixes, "id long, node long, size int, marks array<long>, keys array<long>")
+    signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    members = scratch.table(signed.select(F.lit("python_code").alias("field"), "id", "node").distinct(), "members")
+    first = scratch.table(first_of_each(scratch, signed).select("node", "size", "marks", "keys"), "firsts")
+    scratch.drop(signed)
+    entries = first.select("node", "size", F.explode("keys").alias("key"))
+    verify = Jaccard(scratch, members, first.select("node", "size", "marks"), fetcher(plain, ["python_code"]), RUN, threshold)
+    return groups(scratch, members, link(scratch, entries, members.count(), verify)).select("id", "root")
 
 
 def splits_of(validation: DataFrame) -> DataFrame:

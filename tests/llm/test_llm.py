@@ -307,6 +307,19 @@ def test_cross_split_overlap(spark, scratch, seed):
     assert set(cover) == {i for i, t in rows if i is not None and words(t or "") and split[i] in ("dev", "test")}
 
 
+def test_one_shared_key_is_enough(spark, scratch):
+    """Two texts meet by one key, and by several whose neighbours in the order of keys are not shared."""
+    def links(entries):
+        df = spark.createDataFrame(entries, "key long, node long, size int")
+        verify = linking.Jaccard(scratch, None, None, None, 4, 0.6)
+        verify.__class__ = type("All", (linking.Jaccard,), {"__call__": lambda self, pairs: scratch.table(pairs.withColumn("ok", F.lit(True)), "all")})
+        return {tuple(r) for r in linking.link(scratch, df, 6, verify).collect()}
+
+    # Keys 10 and 20 are shared by nodes 1 and 2, with keys between them that 3 and 4 hold too.
+    apart = [(k, 1) for k in (10, 11, 12, 20)] + [(k, 2) for k in (10, 13, 14, 20)] + [(k, 3) for k in (11, 12)] + [(k, 4) for k in (13, 14)]
+    assert (1, 2) in links([(k, n, 10) for k, n in apart])
+
+
 def test_coverage_takes_all_places(spark, scratch):
     rng = random.Random(5)
     w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
