@@ -320,6 +320,29 @@ def test_one_shared_key_is_enough(spark, scratch):
     assert (1, 2) in links([(k, n, 10) for k, n in apart])
 
 
+def test_hot_keys_lose_no_pair(spark, scratch):
+    """Pairs that share hot keys only: a common head is in far more texts than a hot key needs."""
+    rng = random.Random(11)
+    head = [f"h{i}" for i in range(40)]
+    texts = []
+    for k in range(90):
+        tail = [f"t{k}x{i}" for i in range(45)]
+        texts += [" ".join(head + tail)]
+        if k < 8:
+            texts += [" ".join(head + tail[:9] + [f"e{k}"] + tail[10:33] + [f"e{k}b"] + tail[34:])]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "uuid long, c string")
+    link = linking.link
+    calls = []
+    try:
+        neardup.link = lambda s, entries, n, verify: link(s, calls.append(1) or entries.where("key % 1 = 0").select(F.lit(7).cast("long").alias("key"), "node", "size").distinct(), n, verify)
+        got = {tuple(r)[1:] for r in neardup.near_duplicate_pairs(scratch, df, "uuid", ["c"], "a", "b").collect()}
+    finally:
+        neardup.link = link
+    want = brute_groups(list(enumerate(texts)))
+    assert calls and got == want and want
+
+
 def test_coverage_takes_all_places(spark, scratch):
     rng = random.Random(5)
     w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
