@@ -343,6 +343,22 @@ def test_hot_keys_lose_no_pair(spark, scratch):
     assert calls and got == want and want
 
 
+def test_edited_family_of_idioms(spark, scratch):
+    """Members of a large family with a word edited in every 18 share no run of 24 words."""
+    base = [f"b{i}" for i in range(144)]
+    rows = []
+    for k in range(80):
+        w = list(base)
+        for at in range(k % 18 if k < 2 else 9, 144, 18):
+            w[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(w)))
+    got = {(r.id, r.root) for r in overlap.overlap_groups(scratch, spark.createDataFrame(rows, "uuid long, c string"), "uuid", "c").collect()}
+    groups = collections.defaultdict(set)
+    for i, root in got:
+        groups[root].add(i)
+    assert {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)} == brute_groups(rows) != set()
+
+
 def test_coverage_takes_all_places(spark, scratch):
     rng = random.Random(5)
     w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
