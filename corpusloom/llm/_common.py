@@ -7,7 +7,9 @@ import tempfile
 import uuid as _uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Members of a group that one task pairs with as many others.
 PAIR_BLOCK = 1024
+#: Bytes of text that a worker takes apart at a time.
+SLICE = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(shared_root, "own", None)
         if root is None:
             root = shared_root.own = tempfile.mkdtemp(prefix="corpusloom-")
@@ -30,14 +36,15 @@ def shared_root(spark: SparkSession) -> str:
 class Scratch:
     """Intermediates of one query, written as tables in the shared folder; a lost executor costs a re-read, not a re-run.
 
-    They are removed when the Python process ends, or by :meth:`drop` once nothing reads them any more.
+    They are removed when the Python process ends, or by :meth:`drop` once nothing reads them any more.  Each table is
+    an execution of its own, and Spark is told to delete an execution's shuffle files when it is over.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/corpusloom-{name}-{_uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._at: dict[int, str] = {}
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         atexit.register(self.close)
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -46,8 +53,7 @@ class Scratch:
         path = f"{self.root}/{self._n:02d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(out)] = path
-        out._scratch_path = path  # keeps the id alive together with the frame
+        out._scratch_path = path
         return out
 
     def _delete(self, path: str) -> None:
@@ -57,17 +63,12 @@ class Scratch:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
-    def drop(self, *frames: DataFrame, release: bool = True) -> None:
-        """Delete written tables that nothing reads any more, and let Spark delete the shuffle files behind them.
-
-        Spark deletes a shuffle's files once the driver's JVM has collected the plan that made it, so that is asked for (not for small tables: release=False).
-        """
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete written tables that nothing reads any more."""
         for df in frames:
             path = getattr(df, "_scratch_path", None)
             if path:
                 self._delete(path)
-        if release:
-            self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
         try:
@@ -109,13 +110,41 @@ def pairs_within(members: DataFrame, group: list[str], key: str, a: str, b: str)
     return cell.select(*group, F.least("_l", "_r").alias(a), F.greatest("_l", "_r").alias(b))
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with *fn* from record batch to record batch or None."""
+def pairs_across(left: DataFrame, right: DataFrame, group: list[str], key: str) -> DataFrame:
+    """All pairs (l, r) of a *left* and a *right* key of one group, with the other columns of *left*.
+
+    Both sides of a group are cut into blocks of about PAIR_BLOCK by a hash of the key; a task gets a block of each.
+    """
+    blocks = [d.groupBy(*group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias(name)) for d, name in ((left, "_bl"), (right, "_br"))]
+    cells = blocks[0].join(blocks[1], group)
+    own = lambda n: F.pmod(F.hash(key), F.col(n))
+    rest = [c for c in left.columns if c not in (*group, key)]
+    l_ = left.join(cells, group).select(*group, *rest, F.col(key).alias("l"), own("_bl").alias("_i"), F.explode(F.expr("sequence(0, _br - 1)")).alias("_j"))
+    r_ = right.select(*group, key).join(cells, group).select(*group, F.col(key).alias("r"), F.explode(F.expr("sequence(0, _bl - 1)")).alias("_i"), own("_br").alias("_j"))
+    return l_.join(r_, [*group, "_i", "_j"]).drop("_i", "_j")
+
+
+def slices(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:
+    """*batch* in pieces of at most SLICE bytes of text in *columns*, at least a row each."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0))
+    at, ends = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def arrow_map(df: DataFrame, fn, schema: str, columns: tuple[int, ...] = ()) -> DataFrame:
+    """mapInArrow with *fn* from record batch to record batch or None; batches are cut by the bytes of *columns*."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+        for whole in batches:
+            for batch in slices(whole, *columns) if columns else (whole,):
+                out = fn(batch)
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, guarded_broadcast
+from ._common import Scratch, guarded_broadcast, slices
 from .shingles import Batch, WordHashes
 
 TERM, RUN = 4, 12
@@ -30,8 +30,8 @@ def _postings(known, run: int):
     def post(batches):
         hashes = WordHashes()
         table = None if known is None else known.value
-        for batch in batches:
-            b = Batch(batch.column(1).to_pylist(), hashes, TERM)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            b = Batch.of_texts(batch.column(1).to_pylist(), hashes, TERM)
             if not b.index:
                 continue
             ids = batch.column(0).take(pa.array(b.index, pa.int64()))

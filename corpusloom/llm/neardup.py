@@ -17,46 +17,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, first_of_each, guarded_broadcast, pairs_within
-from .linking import Jaccard, bit_marks, groups, link
-from .shingles import Batch, WordHashes, minhash, one_wildcard_keys
+from ._common import Scratch, arrow_map, first_of_each, pairs_within
+from .linking import Jaccard, groups, link
+from .shingles import CODED, RUN, Batch, bit_marks, coded, minhash, one_wildcard_keys, run_sets
+from .suffixes import sorted_runs
 
-RUN, THRESHOLD = 4, 0.6
+THRESHOLD = 0.6
 SEGMENTS, WIDTH = 12, 3
 
 
-def _signed(fields: list[str]):
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for f, field in enumerate(fields):
-                b = Batch(batch.column(f + 1).to_pylist(), hashes, RUN, field + "\n")
-                if not b.index:
-                    continue
-                grams, begins = b.grams(RUN)
-                sets = [np.unique(g) for g in np.split(grams, begins[1:])]
-                keys = one_wildcard_keys(minhash(grams, begins, SEGMENTS * WIDTH), WIDTH)
-                keys ^= np.uint64(f * 0x5851F42D4C957F2D & (2**64 - 1))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([field] * len(b.index)), pa.array([ids[i] for i in b.index], pa.int64()), pa.array(b.node, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(bit_marks(sets), pa.list_(pa.int64())), flat], ["field", "id", "node", "size", "marks", "keys"])
-
-    return run
+def coded_texts(scratch: Scratch, plain: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((field, id, node), (field, node, codes)): the members of each node, and one text for each node.
 
+    *plain* is (id, fields).  Equal word sequences of a field are one node; texts without words are left out.
+    """
+    signed = scratch.table(plain.mapInArrow(coded(fields), CODED).withColumn("row", F.monotonically_increasing_id()), "coded")
+    members = scratch.table(signed.select("field", "id", "node").distinct(), "members")
+    one_each = first_of_each(scratch, signed).select("field", "node", "codes")
+    one_each._scratch_path = signed._scratch_path
+    return members, one_each
 
-def fetcher(rows: DataFrame, fields: list[str]):
-    """(node, text, field) of chosen (field, id, node) rows; *rows* is (id, field columns)."""
 
-    def fetch(chosen: DataFrame) -> DataFrame:
-        n = chosen.count()
-        out = None
-        for field in fields:
-            part = chosen.where(F.col("field") == field).select("id", "node")
-            got = rows.select("id", F.col(field).alias("text")).join(guarded_broadcast(part, n), "id").select("node", "text", F.lit(field).alias("field"))
-            out = got if out is None else out.unionByName(got)
-        return out
+def _sign(fields: list[str]):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        b = Batch.of_codes(batch.column(2))
+        grams, begins = b.grams(RUN)
+        sets = run_sets(b, RUN)
+        keys = one_wildcard_keys(minhash(grams, begins, SEGMENTS * WIDTH), WIDTH)
+        apart = np.array([fields.index(f) * 0x5851F42D4C957F2D & (2**64 - 1) for f in batch.column(0).to_pylist()], np.uint64)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array((keys ^ apart[:, None]).view(np.int64).ravel()))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(bit_marks(sets), pa.list_(pa.int64())), flat], ["field", "node", "codes", "size", "marks", "keys"])
 
-    return fetch
+    return run
 
 
 def near_duplicate_groups(scratch: Scratch, rows: DataFrame, key: str, fields: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -67,16 +59,11 @@ def near_duplicate_groups(scratch: Scratch, rows: DataFrame, key: str, fields: l
     texts, it belongs to each of their groups.
     """
     plain = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *fields)
-    signed = plain.mapInArrow(_signed(fields), "field string, id long, node long, size int, marks array<long>, keys array<long>")
-    signed = scratch.table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
-    members = scratch.table(signed.select("field", "id", "node").distinct(), "members")
-    # Copies of a word sequence have the same keys; one of them stands for all.
-    first = scratch.table(first_of_each(scratch, signed).select("node", "size", "marks", "keys"), "firsts")
-    scratch.drop(signed)
-    entries = first.select("node", "size", F.explode("keys").alias("key"))
-    marks = first.select("node", "size", "marks")
-    links = link(scratch, entries, members.count(), Jaccard(scratch, members, marks, fetcher(plain, fields), RUN, threshold))
-    return groups(scratch, members, links)
+    members, one_each = coded_texts(scratch, plain, fields)
+    texts = scratch.table(arrow_map(one_each, _sign(fields), "field string, node long, codes binary, size int, marks array<long>, keys array<long>", columns=(2,)), "texts")
+    scratch.drop(one_each)
+    live = sorted_runs(scratch, texts.select("node", "size", F.explode("keys").alias("key")), name="variants")
+    return groups(scratch, members, link(scratch, live, Jaccard(scratch, texts, RUN, threshold)))
 
 
 def near_duplicate_pairs(scratch: Scratch, rows: DataFrame, key: str, fields: list[str], a: str, b: str) -> DataFrame:

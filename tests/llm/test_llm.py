@@ -6,6 +6,8 @@ import itertools
 import random
 import warnings
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,6 +17,8 @@ from corpusloom.llm import copies, encode, leak, linking, neardup, overlap, pars
 from corpusloom.llm._common import Scratch, pairs_within
 from corpusloom.llm.canonical import canonical_words, words
 from corpusloom.llm.components import connected_components
+from corpusloom.llm.shingles import RUN, Batch, WordHashes
+from corpusloom.llm.suffixes import common_prefix, sorted_runs
 
 warnings.simplefilter("ignore")
 SMALL = settings(max_examples=60, deadline=None)
@@ -281,7 +285,7 @@ def test_star_and_refused_links(spark, scratch, monkeypatch):
     """With buckets of more than two texts taken as large and every key as hot, groups stay the same."""
     rows = corpus(3, 80, 40)
     link = linking.link
-    for settings_ in ({"small": 2}, {"small": 2, "hot_least": 1, "hot_share": 0.0}):
+    for settings_ in ({"small": 2}, {"small": 2, "hot": 1}):
         monkeypatch.setattr(neardup, "link", lambda *a, s=settings_: link(*a, **s))
         df = spark.createDataFrame([(i, t) for i, t in rows], "uuid long, c string")
         got = {tuple(r)[1:] for r in neardup.near_duplicate_pairs(scratch, df, "uuid", ["c"], "a", "b").collect()}
@@ -311,16 +315,16 @@ def test_one_shared_key_is_enough(spark, scratch):
     """Two texts meet by one key, and by several whose neighbours in the order of keys are not shared."""
     def links(entries):
         df = spark.createDataFrame(entries, "key long, node long, size int")
-        verify = linking.Jaccard(scratch, None, None, None, 4, 0.6)
+        verify = linking.Jaccard(scratch, None, 4, 0.6)
         verify.__class__ = type("All", (linking.Jaccard,), {"__call__": lambda self, pairs: scratch.table(pairs.withColumn("ok", F.lit(True)), "all")})
-        return {tuple(r) for r in linking.link(scratch, df, 6, verify).collect()}
+        return {tuple(r) for r in linking.link(scratch, sorted_runs(scratch, df), verify).collect()}
 
     # Keys 10 and 20 are shared by nodes 1 and 2, with keys between them that 3 and 4 hold too.
     apart = [(k, 1) for k in (10, 11, 12, 20)] + [(k, 2) for k in (10, 13, 14, 20)] + [(k, 3) for k in (11, 12)] + [(k, 4) for k in (13, 14)]
     assert (1, 2) in links([(k, n, 10) for k, n in apart])
 
 
-def test_hot_keys_lose_no_pair(spark, scratch):
+def test_hot_keys_lose_no_pair(spark, scratch, monkeypatch):
     """Pairs that share hot keys only: a common head is in far more texts than a hot key needs."""
     rng = random.Random(11)
     head = [f"h{i}" for i in range(40)]
@@ -332,13 +336,14 @@ def test_hot_keys_lose_no_pair(spark, scratch):
             texts += [" ".join(head + tail[:9] + [f"e{k}"] + tail[10:33] + [f"e{k}b"] + tail[34:])]
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "uuid long, c string")
-    link = linking.link
-    calls = []
-    try:
-        neardup.link = lambda s, entries, n, verify: link(s, calls.append(1) or entries.where("key % 1 = 0").select(F.lit(7).cast("long").alias("key"), "node", "size").distinct(), n, verify)
-        got = {tuple(r)[1:] for r in neardup.near_duplicate_pairs(scratch, df, "uuid", ["c"], "a", "b").collect()}
-    finally:
-        neardup.link = link
+    calls, sort = [], neardup.sorted_runs
+
+    def one_key(scratch, entries, **kw):
+        calls.append(1)
+        return sort(scratch, entries.select(F.lit(7).cast("long").alias("key"), "node", "size").distinct(), **kw)
+
+    monkeypatch.setattr(neardup, "sorted_runs", one_key)
+    got = {tuple(r)[1:] for r in neardup.near_duplicate_pairs(scratch, df, "uuid", ["c"], "a", "b").collect()}
     want = brute_groups(list(enumerate(texts)))
     assert calls and got == want and want
 
@@ -359,6 +364,59 @@ def test_edited_family_of_idioms(spark, scratch):
     assert {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)} == brute_groups(rows) != set()
 
 
+def test_sorted_runs(spark, scratch, monkeypatch):
+    """Runs that go on over many partitions, hot keys among them, and tables that are taken in small steps."""
+    from corpusloom.llm import suffixes
+
+    rng = random.Random(1)
+    rows = [(rng.choice([rng.randrange(500), 7, 8]), rng.randrange(300), 5) for _ in range(3000)]
+    by = collections.defaultdict(set)
+    for k, n, _ in rows:
+        by[k].add(n)
+    want = {(k, n): (len(v), min(v), 5) for k, v in by.items() if len(v) > 1 for n in v}
+    df = spark.createDataFrame(rows, "key long, node long, size int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [((r.key, r.node), (r.n, r.hub, r.hub_size)) for r in sorted_runs(scratch, df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(want) and dict(got) == want
+    # In one task, step by step: what a step leaves over is taken up by the next.
+    monkeypatch.setattr(suffixes, "STEP", 1)
+    walk = suffixes._walk(None, False)
+    ordered = sorted(rows)
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "node", "size"), r)) for r in ordered[i : i + 100]], pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])) for i in range(0, len(ordered), 100)]
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    out = [r for b in walk(iter(batches)) for r in b.to_pylist()]
+    assert {(r["key"], r["node"]): (r["n"], r["hub"], 5) for r in out if r["n"] > 1} == want
+    assert [r["edge"] for r in out].count(True) >= 1
+
+
+def test_common_prefix_and_order_of_suffixes(spark, scratch):
+    keys = np.frombuffer(b"aabbaabcabbb", np.uint8).reshape(3, 4)
+    assert common_prefix(keys).tolist() == [0, 3, 1]
+    # Minimizers: texts that share SPAN + WINDOW - 1 words share a kept place within them.
+    rng = random.Random(3)
+    shared = [f"s{i}" for i in range(overlap.SPAN + overlap.WINDOW - 1)]
+    for _ in range(50):
+        held = []
+        for _ in range(2):
+            w = [f"x{rng.random()}" for _ in range(rng.randrange(40))] + shared + [f"y{rng.random()}" for _ in range(rng.randrange(40))]
+            at = w.index("s0")
+            b = Batch.of_texts([" ".join(w).replace(".", "")], WordHashes(), RUN)
+            runs_, begins = b.grams(RUN)
+            places = overlap.minimizers(runs_, begins, b.ends - b.starts - RUN + 1)
+            held.append({int(p) - at for p in places if at <= p <= at + overlap.WINDOW - 1})
+        assert held[0] & held[1]
+
+
+def test_short_texts_meet(spark, scratch):
+    """Seven words against the same seven and one more: a similarity of 0.8."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "p q r s"), (4, "p q r s t"), (5, "u v"), (6, "z a b c d e f g h i j k l m n o p q")]
+    got = {r.id: r.root for r in overlap.overlap_groups(scratch, spark.createDataFrame(rows, "uuid long, c string"), "uuid", "c").collect()}
+    assert got[1] == got[2] and got[3] != got[4] and len({*got.values()}) == 5
+
+
 def test_coverage_takes_all_places(spark, scratch):
     rng = random.Random(5)
     w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
