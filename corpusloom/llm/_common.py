@@ -106,7 +106,7 @@ def pairs_within(members: DataFrame, group: list[str], key: str, a: str, b: str)
     m = m.withColumn("_own", F.pmod(F.hash("_k"), F.col("_b")))
     left = m.select(*group, F.col("_k").alias("_l"), F.col("_own").alias("_i"), F.explode(F.expr("sequence(_own, _b - 1)")).alias("_j"))
     right = m.select(*group, F.col("_k").alias("_r"), F.explode(F.expr("sequence(0, _own)")).alias("_i"), F.col("_own").alias("_j"))
-    cell = left.join(right, [*group, "_i", "_j"]).where("(_i < _j and _l <> _r) or (_i = _j and _l < _r)")
+    cell = left.join(right.hint("merge"), [*group, "_i", "_j"]).where("(_i < _j and _l <> _r) or (_i = _j and _l < _r)")
     return cell.select(*group, F.least("_l", "_r").alias(a), F.greatest("_l", "_r").alias(b))
 
 
@@ -121,7 +121,7 @@ def pairs_across(left: DataFrame, right: DataFrame, group: list[str], key: str)
     rest = [c for c in left.columns if c not in (*group, key)]
     l_ = left.join(cells, group).select(*group, *rest, F.col(key).alias("l"), own("_bl").alias("_i"), F.explode(F.expr("sequence(0, _br - 1)")).alias("_j"))
     r_ = right.select(*group, key).join(cells, group).select(*group, F.col(key).alias("r"), F.explode(F.expr("sequence(0, _bl - 1)")).alias("_i"), own("_br").alias("_j"))
-    return l_.join(r_, [*group, "_i", "_j"]).drop("_i", "_j")
+    return l_.join(r_.hint("merge"), [*group, "_i", "_j"]).drop("_i", "_j")
 
 
 def slices(batch: pa.RecordBatch, *columns: int) -> Iterator[pa.RecordBatch]:

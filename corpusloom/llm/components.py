@@ -18,7 +18,7 @@ def _shortcut(scratch: Scratch, parents: DataFrame) -> DataFrame:
     """Pointer doubling until each vertex points at its root."""
     while True:
         up = parents.select(F.col("v").alias("p"), F.col("p").alias("g"))
-        new = scratch.table(parents.join(up, "p", "left").select("v", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")), "jump")
+        new = scratch.table(parents.join(up.hint("merge"), "p", "left").select("v", F.coalesce("g", "p").alias("p"), (F.coalesce("g", "p") != F.col("p")).alias("moved")), "jump")
         scratch.drop(parents)
         moved = new.where("moved").limit(1).count()
         parents = new.select("v", "p")
@@ -43,15 +43,15 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return parents.select("v", F.col("p").alias("root"))
         hooks = links.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
         if parents is None:
-            parents = scratch.table(vertices.join(hooks, "v", "left").select("v", F.coalesce("p", "v").alias("p")), "parents")
+            parents = scratch.table(vertices.join(hooks.hint("merge"), "v", "left").select("v", F.coalesce("p", "v").alias("p")), "parents")
         else:
-            new = scratch.table(parents.join(hooks.select(F.col("p").alias("h"), F.col("v").alias("p")), "p", "left").select("v", F.coalesce("h", "p").alias("p")), "parents")
+            new = scratch.table(parents.join(hooks.select(F.col("p").alias("h"), F.col("v").alias("p")).hint("merge"), "p", "left").select("v", F.coalesce("h", "p").alias("p")), "parents")
             scratch.drop(parents)
             parents = new
         parents = _shortcut(scratch, parents)
         up = parents.select(F.col("v"), F.col("p"))
         new = scratch.table(
-            links.join(up.withColumnsRenamed({"v": "a", "p": "ra"}), "a").join(up.withColumnsRenamed({"v": "b", "p": "rb"}), "b")
+            links.join(up.withColumnsRenamed({"v": "a", "p": "ra"}).hint("merge"), "a").join(up.withColumnsRenamed({"v": "b", "p": "rb"}).hint("merge"), "b")
             .where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         scratch.drop(live)
         live = new

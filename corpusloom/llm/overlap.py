@@ -102,9 +102,9 @@ def cross_split_pairs(scratch: Scratch, rows: DataFrame, key: str, text: str, sp
     Rows without a split only serve as links.  Should a row have several splits, each of them counts.
     """
     grouped = overlap_groups(scratch, rows, key, text).distinct()
-    placed = scratch.table(grouped.join(splits, "id").where(F.col("split_name").isin(TRAINING, *EVALUATION)), "placed")
+    placed = scratch.table(grouped.join(splits.hint("merge"), "id").where(F.col("split_name").isin(TRAINING, *EVALUATION)), "placed")
     sides = placed.groupBy("root").agg(F.max(F.col("split_name") == TRAINING).alias("t"), F.max(F.col("split_name") != TRAINING).alias("e")).where("t and e").select("root")
-    mixed = scratch.table(placed.join(sides, "root", "left_semi"), "mixed")
+    mixed = scratch.table(placed.join(sides.hint("merge"), "root", "left_semi"), "mixed")
     held, asked = mixed.where(F.col("split_name") == TRAINING).select("root", "id"), mixed.where(F.col("split_name") != TRAINING)
     pairs = pairs_across(asked, held, ["root"], "id").where("l <> r")
     return pairs.select("split_name", F.least("l", "r").alias(a), F.greatest("l", "r").alias(b)).distinct()
