@@ -1,13 +1,19 @@
 """Per-document text quality: ratios over the whole text, and blocks told apart as list, table, junk or other.
 
 A document is cut into blocks of consecutive non-blank lines (cell markers, code fences and comment prefixes of
-exported notebooks are taken off first, notebooks stored as JSON are decoded).  A block is a table if its delimiters
-align vertically: the same number of tabs, bars, commas or semicolons in nearly every line, the same cell edges in
-columns parted by two or more blanks, or rows of table markup.  It is a list if nearly every line carries a list
-marker or is a short entry, judged with the period of its indentation and the autocorrelation of its line lengths.  It
-is junk if it is encoded, damaged, repeated or noise: control sequences, mis-decoded bytes, runs of one character, bars
-and dumps, long tokens without white space, or words that no reader could pronounce.  A document is the kind to which
-more than half of its characters other than white space belong.
+exported notebooks are taken off first, notebooks stored as JSON are decoded).  What a block is shows in its structure
+and its ratios, taken together:
+
+- structure: vertical alignment of delimiters (the same number of tabs, bars, commas or semicolons in nearly every
+  line, the same cell edges in columns parted by two or more blanks, rows of table markup), the period of the
+  indentation, and the autocorrelation of the line lengths at LAGS;
+- ratios: words and characters of a line, share of lines that end in punctuation, symbol ratio, vowels per letter.
+
+Aligned delimiters between brief cells make a table, unless the lines end like sentences.  Marked or brief entries on a
+regular indentation, whose lengths neither repeat with a period nor stay the same and which are words more than
+symbols, make a list.  Junk is encoded, damaged, repeated or noise: control sequences, mis-decoded bytes, runs of one
+character, bars and dumps, long tokens without white space, or words that no reader could pronounce.  A document is
+the kind to which more than half of its characters other than white space belong.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_map
 
 LEAST = 200
+#: Distances at which line lengths are compared.
+LAGS = (1, 2, 3, 4)
 KINDS = ("list", "table", "junk")
 
 _CELL = re.compile(r"^(?:# %%.*|#\s*In\s*\[.*\]:?.*|```.*|~~~.*)$")
@@ -37,6 +45,7 @@ _UNIT = re.compile(r"(\S{2,32}?)\1{3,}")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1b]|\[\d*[mKJH]")
 _BLOCKS = re.compile(r"[▀-▟]")
 _ODD = re.compile(r"[\u0080-¿ÂÃâïŒœ€™‘-„†-•ˆ˜�]")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _VOWEL = re.compile(r"[aeiouyàáâäåæèéêëìíîïòóôöøùúûüœ]")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxzß]{5,}")
@@ -48,13 +57,17 @@ _COLUMNS = re.compile(r"\S+(?: \S+)*")
 
 
 def lines_of(text: str) -> list[str]:
-    """Lines with cell markers and fences blanked, comment prefixes of non-code cells removed, JSON decoded."""
-    if text.startswith("{") and '"cells"' in text[:200]:
+    """Lines with cell markers and fences blanked, comment prefixes of non-code cells removed, JSON decoded.
+
+    A text is a JSON notebook if it is a JSON object with a list of cells that have a source, in whatever order its
+    names stand.
+    """
+    if text[:1] == "{" and '"cells"' in text:
         try:
             cells = json.loads(text)["cells"]
             sources = ["".join(c["source"]) if isinstance(c["source"], list) else str(c["source"]) for c in cells]
             return "\n\n".join(sources).splitlines()
-        except (ValueError, KeyError, TypeError):
+        except (ValueError, KeyError, TypeError, RecursionError):
             pass
     out, prefixed = [], False
     for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
@@ -83,14 +96,31 @@ def autocorrelation(lengths: list[int], lag: int = 1) -> float:
     return 1.0 if total == 0 else float((x[:-lag] * x[lag:]).sum()) / total
 
 
+def rhythm(lengths: list[int]) -> float:
+    """The highest autocorrelation of line lengths at any of LAGS; 1 for lines of equal length."""
+    return max(autocorrelation(lengths, lag) for lag in LAGS)
+
+
 def indent_period(lines: list[str]) -> float:
-    """Share of lines whose indentation is a multiple of the most common step."""
+    """Share of lines whose indentation is a multiple of the most common step from one line to the next (of equally
+    common ones the smallest); 1 without steps."""
     depths = [len(x) - len(x.lstrip()) for x in lines]
-    steps = [d for d in depths if d]
+    steps = Counter(abs(b - a) for a, b in zip(depths, depths[1:]) if a != b)
     if not steps:
         return 1.0
-    step = min(steps)
-    return sum(d % step == 0 for d in depths) / len(depths)
+    step = min(steps, key=lambda d: (-steps[d], d))
+    least = min(depths)
+    return sum((d - least) % step == 0 for d in depths) / len(depths)
+
+
+def line_end_share(lines: list[str]) -> float:
+    """Share of lines that end like a sentence."""
+    return sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines)
+
+
+def symbol_ratio(text: str, solid: int) -> float:
+    """Share of characters other than letters, digits and white space among those other than white space."""
+    return len(_SYMBOL.findall(text)) / solid if solid else 0.0
 
 
 def _is_table(lines: list[str]) -> bool:
@@ -118,7 +148,7 @@ def _is_table(lines: list[str]) -> bool:
             brief = sum(len(c) <= 24 and c.count(" ") <= 2 for c in cells) >= 0.9 * len(cells)
             plain = sum(any(b in c for b in "()={}") for c in cells) <= 0.1 * len(cells)
             spaced = sum(x.count(d + " ") for x in lines) > 0.5 * sum(counts)
-            if brief and plain and not (spaced and d in ",;" and sum(bool(_END.search(x.strip())) for x in lines) > 0.3 * n):
+            if brief and plain and not (spaced and d in ",;" and line_end_share(lines) > 0.3):
                 return True
     # Columns parted by blanks: the same number of cells, their right or left edges in the same places.
     if sum("  " in x.strip() for x in lines) < 0.7 * n:
@@ -161,19 +191,19 @@ def _is_junk(lines: list[str], text: str, solid: int, control: int) -> bool:
     return False
 
 
-def _is_list(lines: list[str]) -> bool:
+def _is_list(lines: list[str], text: str, solid: int) -> bool:
     n = len(lines)
+    lengths = [len(x.strip()) for x in lines]
     marked = sum(bool(_MARK.match(x)) for x in lines)
     if n >= 2 and marked >= 0.7 * n:
         # Steps told in whole sentences are prose; entries are brief.
-        return sum(len(x.strip()) <= 90 for x in lines) >= 0.7 * n and indent_period(lines) >= 0.7
-    if n < 4:
+        return sum(k <= 90 for k in lengths) >= 0.7 * n and indent_period(lines) >= 0.7
+    if n < 4 or max(lengths) > 60:
         return False
-    brief = [x for x in lines if len(x.strip()) <= 40 and len(x.split()) <= 5 and not _CODE.search(x) and not _END.search(x.strip())]
+    brief = [x for x, k in zip(lines, lengths) if k <= 40 and len(x.split()) <= 5 and not _CODE.search(x) and not _END.search(x.strip())]
     if len(brief) < 0.8 * n:
         return False
-    lengths = [len(x.strip()) for x in lines]
-    return max(lengths) <= 60 and abs(autocorrelation(lengths)) < 0.9
+    return line_end_share(lines) <= 0.2 and symbol_ratio(text, solid) < 0.5 and rhythm(lengths) < 0.9
 
 
 def block_kind(lines: list[str]) -> tuple[str, int]:
@@ -185,7 +215,7 @@ def block_kind(lines: list[str]) -> tuple[str, int]:
         return "junk", solid
     if _is_table(lines):
         return "table", solid
-    if _is_list(lines):
+    if _is_list(lines, text, solid):
         return "list", solid
     return ("junk" if _is_junk(lines, text, solid, control) else "other"), solid
 
