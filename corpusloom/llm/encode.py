@@ -3,8 +3,9 @@
 1. Documents are cut into pre-tokens chunk by chunk (a chunk is a bounded number of characters, at least one document).
    Within a chunk a pre-token is a number into the chunk's own list of distinct words, so a position costs a number and
    a word crosses the network once per chunk, not once per occurrence.
-2. The lists are exploded to (word, chunk, place), shuffled by word and sorted; each distinct word is encoded once and
-   its ids go back to (chunk, place).
+2. The lists are exploded to (word, chunk, place) and range-partitioned by word and chunk, sorted.  A task encodes each
+   of its distinct words once and gives the ids back to (chunk, place).  A word that nearly every chunk holds is cut by
+   chunk into as many tasks as it needs, and encoded once in each.
 3. Shuffled by chunk, the ids meet the chunk's positions and each document's list is put together in order.
 
 Decoding joins each id with its bytes in the vocabulary and concatenates by position.
@@ -145,7 +146,7 @@ def encode(scratch: Scratch, docs: DataFrame, key: str, text: str, vocabulary: s
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     cut = scratch.table(plain.mapInArrow(_chunked(chunk), "chunk long, ids array<long>, counts array<int>, width int, at binary, words array<string>"), "chunks")
     words = cut.select("chunk", F.posexplode("words").alias("place", "word")).select("word", "chunk", "place")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary), "chunk long, place int, ids array<int>")
+    encoded = words.repartitionByRange("word", "chunk").sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary), "chunk long, place int, ids array<int>")
     return cut.drop("words").groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble, "id long, ids array<int>")
 
 
@@ -168,7 +169,7 @@ def decode(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def round_trip(scratch: Scratch, docs: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """(id, n_tokens, same): whether decoding gives back the text; null counts as the empty text.
+    """(id, n_chars, same): whether decoding gives back the text, and its length; null counts as the empty text.
 
     The token bytes are held by each worker (a fixed table), as a hash join of each position with it.
     """
@@ -177,10 +178,9 @@ def round_trip(scratch: Scratch, docs: DataFrame, key: str, text: str, vocabular
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = _token_bytes(vocabulary)
         same = [b"".join([table[i] for i in ids]) == t.encode() for ids, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        counts = batch.column(1).value_lengths().cast(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(same, pa.bool_())], ["id", "n_tokens", "same"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in batch.column(2).to_pylist()], pa.int64()), pa.array(same, pa.bool_())], ["id", "n_chars", "same"])
 
-    return arrow_map(pairs, run, "id long, n_tokens long, same boolean")
+    return arrow_map(pairs, run, "id long, n_chars long, same boolean")
 
 
 @functools.lru_cache(maxsize=1)
