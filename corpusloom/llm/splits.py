@@ -8,6 +8,7 @@ most the square root of twice the rows, and bitsets over it give the reachable t
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from ._common import Scratch, guarded_broadcast
 from .components import connected_components
 
 NAMES, SHARES = ("train", "validation", "test"), (0.8, 0.1, 0.1)
-#: Bits of the subset-sum bitset; above so many rows sizes are counted in larger units.
+#: Rows up to which the subset-sum bitset covers all totals; it needs about 10 bytes a row on the driver.
 BITS = 1 << 22
+#: Components of one size that a task numbers.
+NUMBERED = 100_000
 WHITE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
@@ -42,41 +45,67 @@ def related(scratch: Scratch, rows: DataFrame, key: str, entities: list[str]) ->
     return ids.select("id", name.alias("v")).distinct().join(roots, "v", "left").select("id", F.coalesce("root", "v").alias("component"))
 
 
-def _subset(multiplicity: dict[int, int], target: int) -> dict[int, int]:
+def _bitset(multiplicity: dict[int, int], target: int) -> dict[int, int]:
     """size -> how many components to take so that the total comes closest to *target* (the smaller at a tie).
 
-    Multiplicities are cut into powers of two, and a bitset of reachable totals is kept after each such item.
+    Multiplicities are cut into powers of two, each an item of a bitset of reachable totals.  For each total the item
+    that first reached it is kept (4 bytes), so a choice is read back without a copy of the bitset for each item.
     """
-    total = sum(s * n for s, n in multiplicity.items())
-    target = max(0, min(target, total))
-    unit = max(1, -(-total // BITS))
+    cap = 2 * target + 1  # what lies further above the target than 0 below it is no better
+    mask, reach = (1 << cap) - 1, 1
+    by = np.full(cap, -1, np.int32)
     items = []
     for size, n in sorted(multiplicity.items(), reverse=True):
         k = 1
         while n > 0:
-            take = min(k, n)
-            items.append((size, take))
-            n -= take
+            items.append((size, min(k, n)))
+            n -= items[-1][1]
             k *= 2
-    cap = (1 << (2 * target // unit + 2)) - 1
-    reach, history = 1, []
-    for size, take in items:
-        history.append(reach)
-        reach |= (reach << (size * take // unit)) & cap
-    want = target // unit
-    below = reach & ((1 << (want + 1)) - 1)
-    low = below.bit_length() - 1
-    above = reach >> (want + 1)
-    high = want + (above & -above).bit_length() if above else None
-    at = low if high is None or want - low <= high - want else high
+    for i, (size, take) in enumerate(items):
+        new = (reach << (size * take)) & mask & ~reach
+        if new:
+            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(-(-cap // 8), "little"), np.uint8), bitorder="little")[:cap])] = i
+            reach |= new
+            if reach >> target & 1:
+                break
+    low = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = reach >> (target + 1)
+    high = target + (above & -above).bit_length() if above else None
+    at = low if high is None or target - low <= high - target else high
     chosen: dict[int, int] = {}
-    for (size, take), before in zip(reversed(items), reversed(history)):
-        if not before >> at & 1:
-            at -= size * take // unit
-            chosen[size] = chosen.get(size, 0) + take
+    while at:
+        size, take = items[by[at]]
+        chosen[size] = chosen.get(size, 0) + take
+        at -= size * take
     return chosen
 
 
+def _subset(multiplicity: dict[int, int], target: int, bits: int = BITS) -> dict[int, int]:
+    """size -> how many components to take so that the total comes closest to *target*, counted in single rows.
+
+    The largest components that fit are taken first; with many small ones that hits the target.  If it leaves a rest,
+    a bitset over all totals decides for targets up to *bits* rows.  Beyond, as many components are given back as
+    *bits* rows hold, and the bitset chooses among these and those not taken.  A total that hits the target is
+    closest; where none does, the best within reach of the exchange is taken.
+    """
+    target = max(0, min(target, sum(s * n for s, n in multiplicity.items())))
+    taken, rest = {}, target
+    for size, n in sorted(multiplicity.items(), reverse=True):
+        k = min(n, rest // size)
+        taken[size], rest = k, rest - k * size
+    if rest and target <= bits:
+        return _bitset(multiplicity, target)
+    if rest:
+        back, room = {}, bits - rest
+        for size in sorted(taken):  # small ones first: more of them fit, so more totals are in reach
+            k = min(taken[size], max(0, room // 2) // size)
+            back[size], room = k, room - k * size
+        free = {s: min(n - taken[s] + back[s], 2 * bits // s) for s, n in multiplicity.items()}
+        again = _bitset({s: n for s, n in free.items() if n}, rest + sum(s * k for s, k in back.items()))
+        taken = {s: taken[s] - back[s] + again.get(s, 0) for s in taken}
+    return {s: k for s, k in taken.items() if k}
+
+
 def choose(multiplicity: dict[int, int], shares: tuple[float, ...] = SHARES) -> list[dict[int, int]]:
     """For each split, size -> number of components; smaller splits are filled first, the largest gets the rest."""
     total = sum(s * n for s, n in multiplicity.items())
@@ -99,7 +128,7 @@ def assign_splits(scratch: Scratch, rows: DataFrame, key: str, entities: list[st
     counts = {r["size"]: r["n"] for r in sizes.groupBy("size").agg(F.count("*").alias("n")).collect()}
     wanted = choose(counts, shares)
     # Components of one size are numbered without gathering them: by hash bucket, then within the bucket.
-    buckets = 1024
+    buckets = max(1024, max(counts.values(), default=0) // NUMBERED)
     hashed = sizes.withColumn("h", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int"))
     per = hashed.groupBy("size", "h").agg(F.count("*").alias("n"))
     offset = per.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)))
