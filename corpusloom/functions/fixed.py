@@ -33,3 +33,18 @@ PHASES = ["boot", "setup", "agent", "finalize", "scoring"]
 # Share of dev groups (one bucket in so many), and clip range of the ratio.
 DEV_BUCKETS = 10
 CLIP_LOW, CLIP_HIGH = 0.2, 0.28
+
+# Seeds of the two draws of an execution check (weights, then inputs).
+WEIGHTS_SEED, INPUTS_SEED = 0, 1
+
+# Where a solution is written, the end marker of the script that writes it, the files of a task's folder,
+# and the version of its description.
+SOLUTION_PATH = "/workspace/solution.py"
+SOLUTION_MARKER = "SOLUTION_EOF"
+DESCRIPTION_FILE = "task.toml"
+INSTRUCTION_FILE = "instruction.md"
+REFERENCE_FILES = ["environment/reference.py", "tests/reference.py"]
+SOLUTION_FILE = "environment/solution.py"
+TEST_SCRIPT = "tests/test.sh"
+SOLVE_SCRIPT = "solution/solve.sh"
+DESCRIPTION_VERSION = "1.4"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import SOLUTION_MARKER, SOLUTION_PATH
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -75,12 +77,12 @@ def substitute(template: str, **values: str | Column) -> Column:
     return out
 
 
-def wrap(text: str | Column, path: str = "/workspace/solution.py", marker: str = "SOLUTION_EOF") -> Column:
+def wrap(text: str | Column, path: str = SOLUTION_PATH, marker: str = SOLUTION_MARKER) -> Column:
     """A shell script that writes the text to *path*."""
     return F.concat(F.lit(f"#!/bin/bash\ncat > {path} <<'{marker}'\n"), _c(text), F.lit(f"\n{marker}\n"))
 
 
-def unwrap(script: str | Column, marker: str = "SOLUTION_EOF") -> Column:
+def unwrap(script: str | Column, marker: str = SOLUTION_MARKER) -> Column:
     """What :func:`wrap` wrapped: from the first opening marker to the last closing one; null if there is none."""
     s, opening, closing = _c(script), f"<<'{marker}'\n", f"\n{marker}\n"
     first = F.instr(s, opening)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bands of distinct values that nearest_rank sorts apart.
+BANDS = 64
+
 
 def count_shares(df: DataFrame, **conditions: Column) -> DataFrame:
     """(measure, n, share): how many rows meet each condition, in one pass; the share of no rows is null."""
@@ -32,15 +35,16 @@ def top_k(df: DataFrame, value: str, order: str, k: int) -> DataFrame:
 def nearest_rank(df: DataFrame, values: list[str], percents: list[int]) -> DataFrame:
     """(measure, percent, value): the element at 0-based place min(n - 1, int(q / 100 * n)) of the sorted values.
 
-    Exact without a global sort: values are counted first, so only the distinct ones are ordered; their running sums
-    come from range partitions whose totals are added up on the driver (one number per partition).
+    Exact without a global sort: values are counted first, so only the distinct ones are ordered.  Approximate
+    quantiles of the distinct values cut them into bands of about equal numbers, whatever their spread; each band's
+    count is known before any is sorted, and the sort of a band is one task's.
     """
     long = df.select(F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values))).alias("x"))
     counts = long.select("x.measure", "x.value").where("value is not null").groupBy("measure", "value").agg(F.count("*").alias("c"))
-    # Bands of equal width cut the order; each band's count is known before any is sorted.
-    bounds = counts.groupBy("measure").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))
-    bands = 256
-    banded = counts.join(F.broadcast(bounds), "measure").withColumn("band", F.least(F.floor(F.coalesce(F.try_divide((F.col("value") - F.col("lo")) * bands, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(bands - 1)))
+    cuts = [i / BANDS for i in range(1, BANDS)]
+    bounds = counts.groupBy("measure").agg(F.percentile_approx("value", cuts).alias("cuts"), F.sum("c").alias("n"))
+    # As many rows as measures, with BANDS numbers each.
+    banded = counts.join(F.broadcast(bounds), "measure").withColumn("band", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     offset = banded.groupBy("measure", "band").agg(F.sum("c").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy("measure").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("measure", "band").orderBy("value")
     ranked = banded.join(F.broadcast(offset.select("measure", "band", "before")), ["measure", "band"]).withColumn("upto", F.col("before") + F.sum("c").over(within))

@@ -13,9 +13,24 @@ def positional_group(index: str, size: int) -> Column:
     return F.floor(F.col(index) / size).cast("long")
 
 
+def positional_groups(df: DataFrame, index: str, size: int, group: str = "group_id") -> DataFrame:
+    """*df* with the positional group of each row; rows that do not divide into groups of *size* are an error.
+
+    *index* numbers the rows from 0.  The check is one aggregate of one row, joined by broadcast.
+    """
+    whole = df.agg(F.count("*").alias("n"), F.min(index).alias("lo"), F.max(index).alias("hi"))
+    sound = (F.col("n") % size == 0) & ((F.col("n") == 0) | ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)))
+    checked = whole.select(F.when(sound, True).otherwise(F.raise_error(F.lit(f"rows do not divide into groups of {size}"))).alias("_sound"))
+    return df.crossJoin(F.broadcast(checked)).where("_sound").drop("_sound").withColumn(group, positional_group(index, size))
+
+
 def _with(df: DataFrame, group: str, *stats: Column) -> DataFrame:
-    """*df* with statistics of its group: partial aggregates joined back, so a hot group is never one window."""
-    return df.join(df.groupBy(group).agg(*stats), group, "left")
+    """*df* with statistics of its group: partial aggregates joined back, so a hot group is never one window.
+
+    Rows without a group are a group, as they are in a window.
+    """
+    per = df.groupBy(F.col(group).alias("_group")).agg(*stats)
+    return df.join(per, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def group_advantages(df: DataFrame, group: str, reward: str, normalise: bool = False) -> DataFrame:

@@ -15,17 +15,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 BATCH, ROW_SECONDS, GRACE_SECONDS = 25, 30, 60
 LOST = "exec: worker crashed or hung"
 
 #: The child: reads one JSON request a line, runs ``check(row)`` under an alarm, answers on file descriptor 3.
 _CHILD = r"""
-import importlib, json, os, signal, sys
+import importlib, json, os, signal, socket, sys
 reply = os.fdopen(int(sys.argv[3]), "w", buffering=1)
 module, name, seconds = sys.argv[1].rpartition(":")[0], sys.argv[1].rpartition(":")[2], int(sys.argv[2])
 requests = sys.stdin.read().splitlines()
 sys.stdin = open(os.devnull)
 check = getattr(importlib.import_module(module), name)
+def offline(*_, **__): raise ConnectionRefusedError("rows have no network")
+class Offline(socket.socket):
+    connect = connect_ex = sendto = sendmsg = offline
+socket.socket = socket.SocketType = Offline
+socket.create_connection = socket.getaddrinfo = socket.gethostbyname = offline
 class Timeout(BaseException): pass
 def ring(*_): raise Timeout
 signal.signal(signal.SIGALRM, ring)
@@ -48,6 +55,7 @@ def run_child(rows: list[dict], check: str, row_seconds: int = ROW_SECONDS, path
     """id -> reason of the rows that a child answered for; *check* is ``module:function``.
 
     The child has its own process group, which is killed when the time for the whole batch is over or it is done.
+    Sockets in it refuse to connect, to send and to look up names, so a row that downloads fails with a reason.
     Only the reply pipe is read, so what a row prints cannot forge an answer, and only ids that were asked count.
     """
     read, write = os.pipe()
@@ -105,11 +113,13 @@ def isolated_map(df: DataFrame, id_column: str, columns: list[str], check: str,
     """(id, reason): *check* applied to each row in child processes; null if the row passes.
 
     Rows of a batch that got no answer (the child crashed or hung) are run again, each in a child of its own; what is
-    still unanswered gets LOST.  Rows with a null id are left out.
+    still unanswered gets LOST.  Rows with a null id are left out.  The first replies are written, so a lost executor
+    makes no untrusted row run again.
     """
     rows = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *columns)
     names = ["id", *columns]
-    first = rows.mapInPandas(_runner(check, batch, row_seconds, names, grace), "id long, answered boolean, reason string").persist()
+    first = rows.mapInPandas(_runner(check, batch, row_seconds, names, grace), "id long, answered boolean, reason string")
+    first = written(first, "replies")
     lost = rows.join(first.where("not answered").select("id"), "id", "left_semi")
     again = lost.mapInPandas(_runner(check, 1, row_seconds, names, grace), "id long, answered boolean, reason string")
     return first.where("answered").select("id", "reason").unionByName(again.select("id", F.when(F.col("answered"), F.col("reason")).otherwise(LOST).alias("reason")))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays, text
+from ..functions import arrays, fixed, text
 from ..functions.code import code_facts
 from ..functions.fixed import LARGE_ELEMENTS
 from ..operators import aggregates, dedup, isolated, rules
-from ..session import spread
-from ..sources import folders
+from ..session import spread, written
+from ..sources import folders, records, registry
 
 
 def with_facts(rows: DataFrame) -> DataFrame:
-    """Rows with the struct f of what one parse tells; persisted, since every later stage reads it."""
-    return spread(rows).withColumn("f", code_facts("python_code", F.trim("module_name"))).persist()
+    """Rows with the struct f of what one parse tells; written, since every later stage reads it."""
+    return written(spread(rows).withColumn("f", code_facts("python_code", F.trim("module_name"))), "facts")
 
 
 def filter_pipeline(rows: DataFrame, held_out: DataFrame, check: str | None = None, licenses: Column | None = None) -> DataFrame:
@@ -74,13 +76,48 @@ def report(rows: DataFrame) -> str:
     return "\n\n".join(f"## {name}\n\n{folders.markdown(df)}" for name, df in profile(rows).items()) + "\n"
 
 
-def task_files(rows: DataFrame, template: str = "Implement ${class_name}New.\n", test_script: str = "#!/bin/bash\n", shared: dict[str, str] | None = None) -> DataFrame:
+def task_description(settings: dict | None = None) -> Column:
+    """The TOML description of each row's task: its name, where it comes from, and *settings* of the caller's own."""
+    name = F.trim("module_name")
+    tree = F.to_json(F.struct(
+        F.lit(fixed.DESCRIPTION_VERSION).alias("schema_version"), F.array(F.lit(fixed.SOLUTION_PATH)).alias("artifacts"),
+        F.struct(text.record_name("uuid", name).alias("name")).alias("task"),
+        F.struct("uuid", name.alias("module_name"), F.get("licenses", F.lit(0)).alias("license")).alias("metadata")))
+    if settings:
+        tree = F.concat(F.left(tree, F.length(tree) - 1), F.lit("," + json.dumps(settings)[1:]))
+    return registry.toml_of_json(tree)
+
+
+def task_files(rows: DataFrame, template: str = "Implement ${class_name}New.\n", test_script: str = "#!/bin/bash\n", shared: dict[str, str] | None = None, settings: dict | None = None) -> DataFrame:
     """(folder, path, text, executable): the folder of each kept row; *shared* files are copied into every folder."""
     name = F.trim("module_name")
-    files = {
-        "instruction.md": text.substitute(template, class_name=name),
-        "environment/reference.py": F.col("python_code"), "environment/solution.py": F.lit(""), "tests/reference.py": F.col("python_code"),
-        "tests/test.sh": F.lit(test_script), "solution/solve.sh": text.wrap("triton_code"),
-    }
+    files = {fixed.DESCRIPTION_FILE: task_description(settings), fixed.INSTRUCTION_FILE: text.substitute(template, class_name=name), fixed.SOLUTION_FILE: F.lit("")}
+    files |= dict.fromkeys(fixed.REFERENCE_FILES, F.col("python_code"))
+    files |= {fixed.TEST_SCRIPT: F.lit(test_script), fixed.SOLVE_SCRIPT: text.wrap("triton_code")}
     files |= {path: F.lit(content) for path, content in (shared or {}).items()}
     return folders.files_of(rows, text.record_name("uuid", name), files)
+
+
+def split_kept(kept: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((task, module_group, split), check) of the kept tasks, from the metadata of each task's record.
+
+    *kept* is (task), *rows* (uuid, module_name).  A task without a record or a name cannot be placed and has a null
+    split.  check is one row: groups in both splits, tasks, and tasks with a split.
+    """
+    named = rows.select(F.col("uuid").alias("number"), F.lower(F.trim("module_name")).alias("module_group")).distinct()
+    placed = kept.select(text.tidy_record_name("task").alias("task")).distinct().withColumn("number", text.record_number("task")).join(named, "number", "left")
+    split = F.when(text.hash_bucket("module_group", fixed.DEV_BUCKETS) == 0, "dev").when(F.col("module_group").isNotNull(), "train")
+    lists = placed.select("task", "module_group", split.alias("split"))
+    return lists, dedup.split_check(lists, "module_group", "split")
+
+
+def write_split(kept: DataFrame, rows: DataFrame, root: str) -> None:
+    """One list of tasks and one registry for each split below *root*; groups in both or tasks in none are an error."""
+    lists, check = split_kept(kept, rows)
+    found = check.first()
+    if found.n_torn_groups or found.n_rows != found.n_split_rows:
+        raise ValueError(f"split is not clean: {found}")
+    for name in ("train", "dev"):
+        own = lists.where(F.col("split") == name).select("task")
+        records.write_list(own, "task", f"{root}/{name}")
+        registry.write_registry(registry.registry(own.select(F.col("task").alias("name"), F.concat(F.lit("tasks/"), "task").alias("path")), name, f"{name} split"), f"{root}/registry-{name}")

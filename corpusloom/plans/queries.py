@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, text
 from ..functions.code import code_facts
-from ..functions.fixed import DEV_BUCKETS, GATES, LICENSE_PREFIXES, SCAN_PATTERNS
+from ..functions.fixed import DEV_BUCKETS, DESCRIPTION_FILE, GATES, INSTRUCTION_FILE, LICENSE_PREFIXES, REFERENCE_FILES, SCAN_PATTERNS, SOLUTION_FILE, SOLUTION_MARKER, SOLUTION_PATH, SOLVE_SCRIPT, TEST_SCRIPT
 from ..operators import aggregates, dedup, episodes, groups, isolated, rules, sampling, validation
-from ..session import read_table, spread
+from ..session import read_table, spread, written
 from ..sources import folders, records, registry
-from . import pipelines
+from . import made, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,7 +67,7 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select 'kept' as output, uuid from (select uuid, {_REASON} as reason from kernel_rows) where reason is null union all select 'dropped', uuid from (select uuid, {_REASON} as reason from kernel_rows) where reason is not null")
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, dropped = rules.fan_out(_decided(spark, sf_dir))
+    kept, dropped = rules.fan_out(written(_decided(spark, sf_dir).select("uuid", "reason"), "decided"))  # decided once
     return kept.select(F.lit("kept").alias("output"), "uuid").unionByName(dropped.select(F.lit("dropped").alias("output"), "uuid"))
 
 
@@ -232,7 +232,7 @@ def single_op_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical duplicates: lowest uuid per fingerprint that ignores comments, docstrings and formatting."""
     rows = spread(read_table(spark, sf_dir, "kernel_rows", "uuid", "python_code").where("python_code is not null"))
-    keyed = rows.select("uuid", code_facts("python_code", F.lit(""))["source_key"].alias("source_key")).persist()  # both sides of the join read it
+    keyed = written(rows.select("uuid", code_facts("python_code", F.lit(""))["source_key"].alias("source_key")), "keys")  # both sides of the join read it
     return dedup.keep_lowest(keyed, F.col("source_key"), "uuid").select("uuid", "source_key", dedup.duplicate_reason("uuid").alias("reason"))
 
 
@@ -264,6 +264,91 @@ def profile_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.profile(records.load_rows(spark, f"{sf_dir}/kernel_rows.parquet"))["sizes"]
 
 
+# ---- rows whose facts are known beforehand -----------------------------------------------------------------------
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made.programs(read_table(spark, sf_dir, "kernel_rows", "uuid"))
+
+
+def _made_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_made(spark, sf_dir)).withColumn("f", code_facts("python_code", F.col("module_name")))
+
+
+@query(f"""select uuid, {made.KIND_SQL} <> 1 as parses, {made.KIND_SQL} not in (1, 2) as has_get_inputs, {made.KIND_SQL} <> 1 as has_get_init_inputs, {made.KIND_SQL} not in (1, 5) as has_class,
+{made.ELEMENTS_SQL} as elements, case {made.KIND_SQL} when 0 then 1 when 4 then 2 when 5 then 1 when 6 then 1 when 7 then 0 end::bigint as tensors, array_to_string({made.OPS_SQL}, ' ') as ops, {made.REASON_SQL} as reason from kernel_rows""")
+def made_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one parse finds: definitions, shapes, operators under their short names, and the rules' reason."""
+    reason = rules.first_reason(rules.parse_reason("f.parses"), rules.shapes_reason("f.shapes"))
+    return _made_facts(spark, sf_dir).select(
+        "uuid", "f.parses", "f.has_get_inputs", "f.has_get_init_inputs", "f.has_class", arrays.elements("f.shapes").alias("elements"),
+        F.when(F.col("f.shapes").isNotNull(), F.size("f.shapes")).cast("long").alias("tensors"), F.array_join("f.ops", " ").alias("ops"), reason.alias("reason"))
+
+
+@query(f"select op, count(*) as n from (select unnest({made.OPS_SQL}) as op from kernel_rows) group by 1 order by n desc, op limit 30")
+def made_op_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.top_k(_made_facts(spark, sf_dir).select(F.explode("f.ops").alias("op")), "op", "op", 30)
+
+
+@query(f"select ops[1] as op, min(uuid) as uuid from (select uuid, {made.OPS_SQL} as ops from kernel_rows) where len(ops) = 1 group by 1")
+def made_single_op(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each operator, the first row whose set of operators is just that."""
+    ops = _made_facts(spark, sf_dir).select("uuid", F.col("f.ops").alias("ops"))
+    return ops.where(F.size("ops") == 1).groupBy(F.col("ops")[0].alias("op")).agg(F.min("uuid").alias("uuid"))
+
+
+#: Rows of one program and one class name have one source key, whatever their formatting; programs that do not parse are
+#: told apart by their text.
+_SOURCE = f"{made.GROUP_SQL}, uuid % 3, case when {made.KIND_SQL} = 1 then uuid % 4 end"
+
+
+@query(f"select uuid, min(uuid) over (partition by {_SOURCE}) as owner from kernel_rows")
+def made_source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners by a fingerprint that ignores comments, docstrings and spacing."""
+    keyed = written(_made_facts(spark, sf_dir).select("uuid", F.col("f.source_key").alias("k")), "keys")
+    return dedup.keep_lowest(keyed, F.col("k"), "uuid").select("uuid", "owner")
+
+
+@query(f"select uuid, case when {made.KIND_SQL} in (1, 5) then null else min(uuid) over (partition by {made.GROUP_SQL}) end as owner from kernel_rows")
+def made_structure_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners by a fingerprint of the class under a fixed name; without such a class there is none."""
+    keyed = written(_made_facts(spark, sf_dir).select("uuid", F.col("f.structure_key").alias("k")), "keys")
+    return dedup.keep_lowest(keyed, F.col("k"), "uuid").select("uuid", F.when(F.col("k").isNotNull(), F.col("owner")).alias("owner"))
+
+
+@query(f"""with r as (select uuid, {_SOURCE.replace(', uuid % 3', ' as g, uuid % 3 as m').replace(', case', ', case')} as v, case {made.KIND_SQL} when 1 then 'parse: not valid source' end as parse,
+  case when uuid % 5 = 3 then 'license: restricted GPL-3.0' end as license, {made.REASON_SQL} as size from kernel_rows),
+s as (select *, coalesce(parse, license, size) as static from r), o as (select uuid, g, min(uuid) over (partition by g, m) as owner from s where static is null),
+d as (select uuid, g, case when owner <> uuid then 'duplicate: same code as uuid ' || owner end as dup from o),
+h as (select uuid, case when g % 9 = 0 and {made.KIND_SQL} not in (1, 5) then 'held out: class of the evaluation set' end as held from d where dup is null)
+select uuid, 'Unit' || (uuid % 3) as module_name, coalesce(static, dup, held) as reason from s left join d using (uuid) left join h using (uuid)""")
+def made_filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; the classes of every ninth program are held out, and the check lets all pass."""
+    rows = _made(spark, sf_dir)
+    held = _made_facts(spark, sf_dir).where(F.floor(F.col("uuid") / 4) % 9 == 0).select(F.col("f.structure_key").alias("key")).where("key is not null")
+    return pipelines.filter_pipeline(rows, held, "corpusloom.operators.checks:parses").select("uuid", "module_name", "reason")
+
+
+@query(" union all ".join(_RANK.format(m, e).replace("from kernel_rows", f"from (select uuid, {made.ELEMENTS_SQL} as elements from kernel_rows)") for m, e in (("elements", "elements"), ("kernels", "(uuid * 0)"), ("triton_lines", "(uuid * 0 + 1)"))))
+def made_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size section of the profile."""
+    return pipelines.profile(_made(spark, sf_dir))["sizes"].where("measure <> 'python_lines'")
+
+
+@query("select case uuid % 11 " + " ".join(f"when {i} then '{r}'" for i, (_, r) in enumerate(SCAN_PATTERNS)) + f" when 9 then '{SCAN_PATTERNS[-1][1]}' end as reason, count(*) as n from kernel_rows group by 1")
+def made_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pattern of the scan hits, and harmless lines do not."""
+    texts = made.scanned(read_table(spark, sf_dir, "kernel_rows", "uuid"))
+    return texts.select(rules.pattern_reason("text").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(made.runs_sql(2))
+def made_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's program run twice in child processes: rows that hang, crash, go online, forge replies or give other
+    things than one finite, repeatable array have a reason of their own, and cost their batch nothing."""
+    rows = spread(made.runs(read_table(spark, sf_dir, "kernel_rows", "uuid")))
+    return isolated.isolated_map(rows, "uuid", ["python_code", "module_name"], "corpusloom.operators.checks:runs_deterministically", row_seconds=2, grace=10).withColumnRenamed("id", "uuid")
+
+
 # ---- splits -----------------------------------------------------------------------------------------------------
 
 _BUCKET = "list_reduce(list_prepend(0::bigint, list_transform(string_split(sha256({0}), ''), lambda d: (strpos('0123456789abcdef', d) - 1)::bigint)), lambda a, d: (a * 16 + d) % {1})"
@@ -433,6 +518,15 @@ def informative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.informative(_rewards(spark, sf_dir), "task", "reward").select("task", "attempt", "informative")
 
 
+@query("select position, position // 4 as group_id, round(l - avg(l) over (partition by position // 4), 6) as advantage from (select row_number() over (order by uuid) - 1 as position, length(module_name)::double as l from kernel_rows) where position < (select count(*) // 4 * 4 from kernel_rows)")
+def positional_groups_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of four by position, of as many rows as divide into groups; other numbers of rows are an error."""
+    rows = sampling.positions(read_table(spark, sf_dir, "kernel_rows", "uuid", "module_name"), "uuid", "position")
+    whole = rows.count() // 4 * 4
+    placed = groups.positional_groups(rows.where(F.col("position") < whole).withColumn("l", F.length("module_name").cast("double")), "position", 4)
+    return groups.group_advantages(placed, "group_id", "l").select("position", "group_id", r6("advantage").alias("advantage"))
+
+
 @query("select o_orderkey, o_orderkey // 4 as group_id, round(o_totalprice - avg(o_totalprice) over (partition by o_orderkey // 4), 4) as advantage from orders")
 def positional_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").withColumn("group_id", groups.positional_group("o_orderkey", 4))
@@ -496,21 +590,47 @@ def name_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("task", text.record_number("task").alias("uuid"), text.replace_first("task", "/", "-").alias("first"), text.tidy_record_name("task").alias("tidy"))
 
 
-@query("select uuid, triton_code as code, length('#!/bin/bash' || chr(10) || 'cat > /workspace/solution.py <<''SOLUTION_EOF''' || chr(10) || triton_code || chr(10) || 'SOLUTION_EOF' || chr(10)) as script_length from kernel_rows")
+_WRAPPED = len(f"#!/bin/bash\ncat > {SOLUTION_PATH} <<'{SOLUTION_MARKER}'\n\n{SOLUTION_MARKER}\n")
+
+
+@query(f"select uuid, triton_code as code, length(triton_code) + {_WRAPPED} as script_length from kernel_rows")
 def heredoc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = read_table(spark, sf_dir, "kernel_rows", "uuid", "triton_code").withColumn("s", text.wrap("triton_code"))
     return wrapped.select("uuid", text.unwrap("s").alias("code"), F.length("s").cast("long").alias("script_length"))
 
 
-@query("""select 'task-' || case when length(uuid::varchar) < 5 then lpad(uuid::varchar, 5, '0') else uuid::varchar end || '-' || lower(trim(module_name)) as folder, unnest(['instruction.md', 'environment/reference.py', 'environment/solution.py', 'tests/reference.py', 'solution/solve.sh']) as path,
-unnest([length('Implement ' || trim(module_name) || 'New.' || chr(10)), coalesce(length(python_code), 0), 0, coalesce(length(python_code), 0), coalesce(length(triton_code) + 72, 0)]) as chars from kernel_rows""")
+_NAME = "'task-' || case when length(uuid::varchar) < 5 then lpad(uuid::varchar, 5, '0') else uuid::varchar end || '-' || lower(trim(module_name))"
+_ESCAPED = r"replace({0}, chr(9), '\u0009')"
+_TOML = f"""'schema_version = "1.4"' || chr(10) || 'artifacts = ["{SOLUTION_PATH}"]' || chr(10) || chr(10) || '[task]' || chr(10) || 'name = "' || {_ESCAPED.format(_NAME)} || '"' || chr(10) || chr(10) || '[metadata]' || chr(10) || 'uuid = ' || uuid || chr(10) || 'module_name = "' || {_ESCAPED.format('trim(module_name)')} || '"' || coalesce(chr(10) || 'license = "' || licenses[1] || '"', '') || chr(10)"""
+_FILES = {DESCRIPTION_FILE: _TOML, INSTRUCTION_FILE: "'Implement ' || trim(module_name) || 'New.' || chr(10)", SOLUTION_FILE: "''", **dict.fromkeys(REFERENCE_FILES, "coalesce(python_code, '')"), TEST_SCRIPT: "'#!/bin/bash' || chr(10)", SOLVE_SCRIPT: f"coalesce('#!/bin/bash' || chr(10) || 'cat > {SOLUTION_PATH} <<''{SOLUTION_MARKER}''' || chr(10) || triton_code || chr(10) || '{SOLUTION_MARKER}' || chr(10), '')"}
+
+
+@query(f"select {_NAME} as folder, unnest({list(_FILES)}) as path, unnest([" + ", ".join(f"sha256({t})" for t in _FILES.values()) + "]) as digest, unnest([" + ", ".join("true" if p.endswith(".sh") else "false" for p in _FILES) + "]) as executable from kernel_rows where module_name is not null")
 def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of each record's folder, as rows; sources.folders writes them."""
-    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "module_name", "python_code", "triton_code").withColumn("module_name", F.trim("module_name"))
-    files = folders.files_of(rows, text.record_name("uuid", "module_name"), {
-        "instruction.md": text.substitute("Implement ${class_name}New.\n", class_name="module_name"),
-        "environment/reference.py": F.col("python_code"), "environment/solution.py": F.lit(""), "tests/reference.py": F.col("python_code"), "solution/solve.sh": text.wrap("triton_code")})
-    return files.select("folder", "path", F.length("text").cast("long").alias("chars"))
+    """The files of each record's folder with the digest of their text, as rows; sources.folders writes them."""
+    rows = read_table(spark, sf_dir, "kernel_rows", "uuid", "module_name", "python_code", "triton_code", "licenses").where("module_name is not null")
+    return pipelines.task_files(rows).select("folder", "path", F.sha2("text", 256).alias("digest"), "executable")
+
+
+_KEPT = rf"(select distinct regexp_replace(replace(lower(trim(task)), '/', '-'), '\s+\d+$', '') as task from validation where keep)"
+_PLACED = f"(select task, module_group, case when {_BUCKET.format('module_group', DEV_BUCKETS)} = 0 then 'dev' when module_group is not null then 'train' end as split from {_KEPT} left join (select uuid, lower(trim(module_name)) as module_group from kernel_rows) k on k.uuid = try_cast(nullif({_NUMBER}, '') as bigint))"
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    kept = read_table(spark, sf_dir, "validation", "task", "keep").where("keep").select("task")
+    return pipelines.split_kept(kept, read_table(spark, sf_dir, "kernel_rows", "uuid", "module_name"))
+
+
+@query(f"select task, module_group, split from {_PLACED}")
+def kept_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept tasks with the module of their record and the split that follows from it."""
+    return _kept(spark, sf_dir)[0]
+
+
+@query(f"select (select count(*) from (select module_group from {_PLACED} group by 1 having count(distinct split) > 1)) as n_torn_groups, count(*) as n_rows, count(split) as n_split_rows from {_PLACED}")
+def kept_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No group in both splits, no kept task in none."""
+    return _kept(spark, sf_dir)[1]
 
 
 @query("select 'tasks' as name, '0.1' as version, 'kept tasks' as description, count(*) as n_tasks, min(task) as first, max(task) as last from (select distinct task from validation where keep)")

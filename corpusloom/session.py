@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,8 +51,47 @@ def read_table(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> D
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = getattr(shared_folder, "own", None)
+        if root is None:
+            root = shared_folder.own = tempfile.mkdtemp(prefix="corpusloom-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """*df* as a table written to the shared folder, for results that are dear and read more than once.
+
+    It is removed when the Python process ends, unless the session has ended before.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/corpusloom-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already
+        pass
+
+
+#: Bytes of input of one partition.
+_SPLIT = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """*df* over at least as many partitions as there are cores, for steps that cost far more CPU than a shuffle of
-    their input.  A table of many files has more partitions than that and is left as it is."""
+    their input.  What has more by its files and their size is left as it is; nothing is planned as an RDD or run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if max(len(df.inputFiles()), size // _SPLIT) >= cores else df.repartition(cores)

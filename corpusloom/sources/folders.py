@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,9 +19,12 @@ def files_of(df: DataFrame, folder: Column, files: dict[str, Column]) -> DataFra
 
 
 def write_folders(files: DataFrame, root: str) -> None:
-    """Replace *root* with the folders, files written by the tasks that hold them.  *root* must be on storage that all
-    executors mount."""
-    shutil.rmtree(root, ignore_errors=True)
+    """Replace *root* with the folders, files written by the tasks that hold them.
+
+    *root* must be a path that all executors mount.  The folders are written beside it and put in its place when all
+    are there, so a job that fails leaves what there was.
+    """
+    aim, root = root.rstrip("/"), f"{root.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
     os.makedirs(root)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,7 +41,12 @@ def write_folders(files: DataFrame, root: str) -> None:
                 os.replace(part, target)  # a task that runs twice leaves whole files
             yield pd.DataFrame({"n": [len(frame)]})
 
-    files.select("folder", "path", "text", "executable").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    try:
+        files.select("folder", "path", "text", "executable").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+        shutil.rmtree(aim, ignore_errors=True)
+        os.replace(root, aim)
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Pipelines on hand-made rows."""
 
+import tomllib
+
+import pytest
+
+from corpusloom.functions import fixed
 from corpusloom.functions.code import analyse
 from corpusloom.operators import checks, isolated
 from corpusloom.plans import pipelines
@@ -13,14 +18,14 @@ def table(spark, rows):
 
 
 def test_filter_pipeline_keeps_the_order_of_stages(spark):
-    other = BASE.replace("dim=1", "dim=2")
-    held = BASE.replace("dim=1", "dim=3")
+    other = BASE.replace("0.25", "0.5")
+    held = BASE.replace("0.25", "0.75")
     fails = BASE + "raise ValueError(1)\n"
     rows = records.to_rows(table(spark, [
-        (1, "SumAggregator", "x = (", "", ["MIT"]), (2, "SumAggregator", BASE, "", ["GPL-3.0"]), (3, "SumAggregator", BASE, "", None), (4, "SumAggregator", BASE + "\n" * 300, "", ["MIT"]),
-        (5, "SumAggregator", BASE, "", ["MIT"]), (6, "SumAggregator", "# copy\n" + BASE, "", ["MIT"]), (7, "SumAggregator", other, "", ["MIT"]),
-        (8, "SumAggregator", held, "", ["MIT"]), (9, "SumAggregator", "# copy\n" + held, "", ["MIT"]), (10, "SumAggregator", fails, "", ["MIT"]), (11, "Missing", BASE + "y = 1\n", "", ["MIT"])]))
-    keys = spark.createDataFrame([(analyse(held, "SumAggregator")["structure_key"],), (None,)], "key string")
+        (1, "Blend", "x = (", "", ["MIT"]), (2, "Blend", BASE, "", ["GPL-3.0"]), (3, "Blend", BASE, "", None), (4, "Blend", BASE + "\n" * 300, "", ["MIT"]),
+        (5, "Blend", BASE, "", ["MIT"]), (6, "Blend", "# copy\n" + BASE, "", ["MIT"]), (7, "Blend", other, "", ["MIT"]),
+        (8, "Blend", held, "", ["MIT"]), (9, "Blend", "# copy\n" + held, "", ["MIT"]), (10, "Blend", fails, "", ["MIT"]), (11, "Missing", BASE + "y = 1\n", "", ["MIT"])]))
+    keys = spark.createDataFrame([(analyse(held, "Blend")["structure_key"],), (None,)], "key string")
     got = {r.uuid: r.reason for r in pipelines.filter_pipeline(rows, keys, "tests.test_pipelines:refuse").collect()}
     assert got[1].startswith("parse") and got[2].startswith("license: restricted") and got[3] == "license: none listed" and got[4].startswith("length")
     assert got[5] is None and got[6] == "duplicate: same code as uuid 5" and got[7] is None
@@ -64,18 +69,29 @@ def test_map_with_errors(spark):
 
 
 def test_profile_and_report(spark):
-    rows = records.to_rows(table(spark, [(1, "SumAggregator", BASE, "import torch._inductor\nclass SumAggregatorNew: pass", ["MIT", "MIT"]), (2, "X", "x = (", None, [])]))
+    rows = records.to_rows(table(spark, [(1, "Blend", BASE, "import torch._inductor\nclass BlendNew: pass", ["MIT", "MIT"]), (2, "X", "x = (", None, [])]))
     p = pipelines.profile(rows)
     assert {(r.license, r.n) for r in p["licenses"].collect()} == {("MIT", 2)}
     assert {r.measure: r.n for r in p["interface"].collect()} == {"parses": 1, "get_inputs": 1, "get_init_inputs": 1, "class_exists": 1, "triton_class": 1, "entry_point": 2, "all": 1}
     assert [(r.line, r.n) for r in p["internal_imports"].collect()] == [("import torch._inductor", 1)]
-    assert {(r.measure, r.value) for r in p["sizes"].where("percent = 50").collect()} == {("elements", 256.0), ("python_lines", 21.0), ("triton_lines", 2.0), ("kernels", 0.0)}
+    assert {(r.measure, r.value) for r in p["sizes"].where("percent = 50").collect()} == {("elements", 60.0), ("python_lines", 20.0), ("triton_lines", 2.0), ("kernels", 0.0)}
     assert pipelines.report(rows).startswith("## duplicates\n\n| n_rows")
 
 
 def test_task_files(spark, tmp_path):
-    rows = records.to_rows(table(spark, [(42, " SumAggregator ", BASE, "code", ["MIT"])]))
-    files = pipelines.task_files(rows, shared={"tests/lib/__init__.py": "x"})
+    rows = records.to_rows(table(spark, [(42, " Blend ", BASE, "code", ["MIT"])]))
+    files = pipelines.task_files(rows, shared={"tests/lib/__init__.py": "x"}, settings={"agent": {"seconds": 9}})
     folders.write_folders(files, str(tmp_path / "t"))
-    at = tmp_path / "t/task-00042-sumaggregator"
-    assert (at / "instruction.md").read_text() == "Implement SumAggregatorNew.\n" and (at / "tests/lib/__init__.py").read_text() == "x"
+    at = tmp_path / "t/task-00042-blend"
+    assert tomllib.loads((at / "task.toml").read_text()) == {"schema_version": "1.4", "artifacts": [fixed.SOLUTION_PATH], "task": {"name": "task-00042-blend"}, "metadata": {"uuid": 42, "module_name": "Blend", "license": "MIT"}, "agent": {"seconds": 9}}
+    assert (at / "instruction.md").read_text() == "Implement BlendNew.\n" and (at / "tests/lib/__init__.py").read_text() == "x"
+
+
+def test_split_of_kept_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f" M{i % 9} ") for i in range(60)], "uuid bigint, module_name string")
+    kept = spark.createDataFrame([(f"Task-{i:05d}-m{i % 9}",) for i in range(0, 60, 2)] + [("task/00004-m4 2",)], "task string")
+    pipelines.write_split(kept, rows, str(tmp_path / "s"))
+    lists = {n: {r.task for r in records.read_list(spark, str(tmp_path / f"s/{n}")).collect()} for n in ("train", "dev")}
+    assert not lists["train"] & lists["dev"] and len(lists["train"]) + len(lists["dev"]) == 30
+    with pytest.raises(ValueError):
+        pipelines.write_split(kept.union(spark.createDataFrame([("task-99999-x",)], "task string")), rows, str(tmp_path / "t"))

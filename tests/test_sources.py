@@ -71,8 +71,9 @@ def test_folders(spark, tmp_path):
     assert got["a-1"]["env/reference.py"] == "code\n" and got["a-1"]["absent"] is None
     res = {r.folder: r.detail for r in folders.read_results(spark, root, "task.toml", "solution/solve.sh").collect()}
     assert res == {"a-1": "s", "b-2": "t"}
-    with pytest.raises(PySparkException):
+    with pytest.raises(PySparkException):  # what was there stays
         folders.write_folders(folders.files_of(df, F.col("name"), {"../../x": F.col("code")}), root)
+    assert [r.folder for r in folders.list_folders(spark, root).collect()] == ["a-1", "b-2"]
 
 
 def test_newest_and_markdown(spark, tmp_path):
@@ -114,6 +115,11 @@ def test_isolation(spark, tmp_path, monkeypatch):
     rows = [{"id": i, "python_code": c} for i, c in enumerate(("ok", "forge", "raise", "slow", "crash", "after"))]
     got = isolated.run_child(rows, "iso_checks:check", 1, path)
     assert got == {0: None, 1: "own", 2: "exec: ConnectionRefusedError: no network", 3: "exec: timeout after 1 s"}
+    online = "import socket, urllib.request"
+    (tmp_path / "iso_online.py").write_text("def check(row):\n    exec(row['python_code'])\n")
+    lines = ["socket.create_connection(('127.0.0.1', 9))", "socket.socket().connect(('127.0.0.1', 9))", "socket.getaddrinfo('localhost', 80)", "urllib.request.urlopen('http://127.0.0.1:9')"]
+    said = isolated.run_child([{"id": i, "python_code": f"{online}\n{line}"} for i, line in enumerate(lines)], "iso_online:check", 2, path)
+    assert all(said[i].startswith("exec:") and "rows have no network" in said[i] for i in range(4))
     assert isolated.run_child([{"id": 9, "python_code": "hang"}], "iso_checks:check", 1, path, grace=1) == {}
 
 
