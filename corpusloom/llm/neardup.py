@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ._common import Scratch, arrow_map, first_of_each, pairs_within
 from .linking import Jaccard, groups, link
 from .shingles import CODED, RUN, Batch, bit_marks, coded, minhash, one_wildcard_keys, run_sets
-from .suffixes import sorted_runs
 
 THRESHOLD = 0.6
 SEGMENTS, WIDTH = 12, 3
@@ -62,8 +61,8 @@ def near_duplicate_groups(scratch: Scratch, rows: DataFrame, key: str, fields: l
     members, one_each = coded_texts(scratch, plain, fields)
     texts = scratch.table(arrow_map(one_each, _sign(fields), "field string, node long, codes binary, size int, marks array<long>, keys array<long>", columns=(2,)), "texts")
     scratch.drop(one_each)
-    live = sorted_runs(scratch, texts.select("node", "size", F.explode("keys").alias("key")), name="variants")
-    return groups(scratch, members, link(scratch, live, Jaccard(scratch, texts, RUN, threshold)))
+    variants = texts.select("node", "size", F.explode("keys").alias("key"))
+    return groups(scratch, members, link(scratch, variants, Jaccard(scratch, texts, RUN, threshold)))
 
 
 def near_duplicate_pairs(scratch: Scratch, rows: DataFrame, key: str, fields: list[str], a: str, b: str) -> DataFrame:

@@ -15,11 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._common import Scratch
 
 #: Entries that a task looks at in one step.
 STEP = 1 << 17
+#: Pairs that a task makes in one step.
+PAIRS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,10 +58,30 @@ def _named(keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _walk(need: Callable[[np.ndarray], np.ndarray] | None, across: bool):
-    """The task's side: rows of runs, with part, n, hub, has (a row of side 0 is in the run) and edge."""
-
-    def tell(rows: pa.Table, keys: np.ndarray, starts: np.ndarray, first: bool, last: bool, part: int) -> pa.RecordBatch | None:
+def _pairs(rows: pa.Table, distinct: np.ndarray, counts: np.ndarray, ratio: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of rows within each of the runs that *distinct*, row numbers in order of run and node, holds by
+    *counts*; sizes of a pair differ by no more than *ratio*."""
+    ends = np.cumsum(counts)
+    sizes = rows["size"].to_numpy()
+    for n in np.unique(counts):
+        left, right = np.triu_indices(n, 1)
+        members = distinct[(ends[counts == n] - n)[:, None] + np.arange(n)]
+        step = max(1, PAIRS // len(left))
+        for at in range(0, len(members), step):
+            a, b = members[at : at + step][:, left].ravel(), members[at : at + step][:, right].ravel()
+            near = np.minimum(sizes[a], sizes[b]) >= ratio * np.maximum(sizes[a], sizes[b])
+            a, b = pa.array(a[near]), pa.array(b[near])
+            if len(a):
+                kept = [c for c in rows.column_names if c != "key"]
+                columns = [rows[c].take(a).combine_chunks() for c in kept] + [rows[c].take(b).combine_chunks() for c in kept]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *(f"{c}_b" for c in kept)])
+
+
+def _walk(need: Callable[[np.ndarray], np.ndarray] | None, across: bool, small: int = 0, ratio: float = 0.0, schema: pa.Schema | None = None):
+    """The task's side: rows of runs, with part, n, hub, has (a row of side 0 is in the run) and edge; of runs of
+    *small* nodes or fewer, whole in this task, their pairs instead."""
+
+    def tell(rows: pa.Table, keys: np.ndarray, starts: np.ndarray, first: bool, last: bool, part: int) -> Iterator[pa.RecordBatch]:
         nodes = rows["node"].to_numpy()
         run = np.zeros(len(nodes), np.int64)
         run[starts[1:]] = 1
@@ -76,15 +100,25 @@ def _walk(need: Callable[[np.ndarray], np.ndarray] | None, across: bool):
             has = np.maximum.reduceat(own, starts)
             kept = np.flatnonzero((~own & has[run]) | edge[run])
         else:
-            kept = np.sort(order[new & ((n > 1) | edge)[run[order]]])
+            paired = (n > 1) & (n <= small) & ~edge
+            if paired.any():
+                yield from _pairs(rows, order[new & paired[run[order]]], n[paired], ratio)
+            kept = np.sort(order[new & (((n > 1) & ~paired) | edge)[run[order]]])
         if not len(kept):
-            return None
+            return
         at, chosen = run[kept], keys[kept]
         names = chosen.view(np.int64).ravel() if need is None else _named(chosen, need(chosen))
         out = {"key": pa.array(names), **{c: rows[c].take(pa.array(kept)).combine_chunks() for c in rows.column_names if c != "key"}}
         sizes = rows["size"].to_numpy()[order[starts]] if "size" in rows.column_names else np.zeros(len(starts), np.int32)
         out |= {"part": pa.array(np.full(len(kept), part, np.int32)), "n": pa.array(n[at]), "hub": pa.array(hub[at]), "hub_size": pa.array(sizes[at]), "has": pa.array(has[at]), "edge": pa.array(edge[at])}
-        return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """With nulls for the columns that only rows or only pairs have."""
+        if schema is None:
+            return batch
+        have = dict(zip(batch.schema.names, batch.columns))
+        return pa.RecordBatch.from_arrays([have[f.name].cast(f.type) if f.name in have else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,10 +135,8 @@ def _walk(need: Callable[[np.ndarray], np.ndarray] | None, across: bool):
                 starts = np.concatenate(([0], starts))
             upto = len(keys) if end else int(starts[-1])
             if upto:
-                out = tell(rows.slice(0, upto), keys[:upto], starts if end else starts[:-1], first, end, part)
+                yield from map(whole, tell(rows.slice(0, upto), keys[:upto], starts if end else starts[:-1], first, end, part))
                 first = False
-                if out is not None:
-                    yield out
             held, waiting = rows.slice(upto).to_batches(), 0
 
         for batch in batches:
@@ -119,20 +151,26 @@ def _walk(need: Callable[[np.ndarray], np.ndarray] | None, across: bool):
     return walk
 
 
-def sorted_runs(scratch: Scratch, entries: DataFrame, need: Callable[[np.ndarray], np.ndarray] | None = None, across: bool = False, name: str = "runs") -> DataFrame:
+def sorted_runs(scratch: Scratch, entries: DataFrame, need: Callable[[np.ndarray], np.ndarray] | None = None, across: bool = False, small: int = 0, ratio: float = 0.0, name: str = "runs"):
     """Entries that stand in a run with another node, under the run's number as key, with its number of nodes n and its
     smallest node hub, and that node's size where entries have one.
 
     *entries* is (key, node, ...), key a 64-bit number or a binary of one length for all; neighbours are in one run if
     they have *need* bytes of prefix in common (all bytes where need is None).  Each node comes out once for a run.
     With *across*, entries have a column side, and each entry of side 1 comes out that is in a run with one of side 0.
+
+    With *small*, the result is (pairs, entries): where a task has all of a run of so many nodes or fewer, it gives the
+    run's pairs (each column, and <column>_b of the larger node) at once and no entries; sizes of a pair differ by
+    *ratio* at most.
     """
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields if f.name != "key"]
-    schema = ", ".join(["key long", *kept, "part int", "n long", "hub long", "hub_size int", "has boolean", "edge boolean"])
-    order = ["key", "node"]
-    walked = entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(need, across), schema)
+    rest = [f for f in entries.schema.fields if f.name != "key"]
+    fields = ["key long", *(f"{f.name} {f.dataType.simpleString()}" for f in rest), "part int", "n long", "hub long", "hub_size int", "has boolean", "edge boolean"]
+    if small:
+        fields += [f"{f.name}_b {f.dataType.simpleString()}" for f in rest]
+    schema = to_arrow_schema(T.StructType.fromDDL(", ".join(fields))) if small else None
+    order, rest = ["key", "node"], [f.name for f in rest]
+    walked = entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(need, across, small, ratio, schema), ", ".join(fields))
     walked = scratch.table(walked, name)
-    rest = [c for c in entries.columns if c != "key"]
     edges = walked.where("edge")
     # At most two runs of each task are cut, so this side has at most two rows for each partition of the sort.
     merged = edges.select("part", "key", "n", "hub", "hub_size", "has").distinct().groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("hub", "hub_size")).alias("h"), F.max("has").alias("has"))
@@ -140,6 +178,6 @@ def sorted_runs(scratch: Scratch, entries: DataFrame, need: Callable[[np.ndarray
     cut = edges.where("side = 1") if across else edges
     cut = cut.select("key", *rest)
     cut = (cut if across else cut.dropDuplicates(["key", "node"])).join(merged, "key")
-    out = walked.where("not edge").select("key", *rest, "n", "hub", "hub_size").unionByName(cut)
-    out._scratch_path = walked._scratch_path
-    return out
+    live = walked.where("not edge").select("key", *rest, "n", "hub", "hub_size").unionByName(cut)
+    live._scratch_path = walked._scratch_path
+    return (walked.where("node_b is not null").select(*rest, *(f"{c}_b" for c in rest)), live) if small else live

@@ -335,7 +335,7 @@ def test_one_shared_key_is_enough(spark, scratch):
         df = spark.createDataFrame(entries, "key long, node long, size int")
         verify = linking.Jaccard(scratch, None, 4, 0.6)
         verify.__class__ = type("All", (linking.Jaccard,), {"__call__": lambda self, pairs: scratch.table(pairs.withColumn("ok", F.lit(True)), "all")})
-        return {tuple(r) for r in linking.link(scratch, sorted_runs(scratch, df), verify).collect()}
+        return {tuple(r) for r in linking.link(scratch, df, verify).collect()}
 
     # Keys 10 and 20 are shared by nodes 1 and 2, with keys between them that 3 and 4 hold too.
     apart = [(k, 1) for k in (10, 11, 12, 20)] + [(k, 2) for k in (10, 13, 14, 20)] + [(k, 3) for k in (11, 12)] + [(k, 4) for k in (13, 14)]
@@ -354,13 +354,13 @@ def test_hot_keys_lose_no_pair(spark, scratch, monkeypatch):
             texts += [" ".join(head + tail[:9] + [f"e{k}"] + tail[10:33] + [f"e{k}b"] + tail[34:])]
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "uuid long, c string")
-    calls, sort = [], neardup.sorted_runs
+    calls, link = [], neardup.link
 
-    def one_key(scratch, entries, **kw):
+    def one_key(scratch, entries, verify):
         calls.append(1)
-        return sort(scratch, entries.select(F.lit(7).cast("long").alias("key"), "node", "size").distinct(), **kw)
+        return link(scratch, entries.select(F.lit(7).cast("long").alias("key"), "node", "size").distinct(), verify)
 
-    monkeypatch.setattr(neardup, "sorted_runs", one_key)
+    monkeypatch.setattr(neardup, "link", one_key)
     got = {tuple(r)[1:] for r in neardup.near_duplicate_pairs(scratch, df, "uuid", ["c"], "a", "b").collect()}
     want = brute_groups(list(enumerate(texts)))
     assert calls and got == want and want
@@ -382,6 +382,13 @@ def test_edited_family_of_idioms(spark, scratch):
     assert {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)} == brute_groups(rows) != set()
 
 
+def _by_key(rows):
+    out = collections.defaultdict(set)
+    for r in rows:
+        out[r.key].add(r.node)
+    return out
+
+
 def test_sorted_runs(spark, scratch, monkeypatch):
     """Runs that go on over many partitions, hot keys among them, and tables that are taken in small steps."""
     from corpusloom.llm import suffixes
@@ -399,6 +406,11 @@ def test_sorted_runs(spark, scratch, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == len(want) and dict(got) == want
+    # Pairs of small runs come out at once, those of the others and of runs in several tasks as entries.
+    pairs, live = sorted_runs(scratch, df, small=4)
+    pairs = {(r.node, r.node_b) for r in pairs.collect()}
+    pairs |= {(a, b) for ns in _by_key(live.collect()).values() for a, b in itertools.combinations(sorted(ns), 2)}
+    assert pairs == {(a, b) for ns in by.values() for a, b in itertools.combinations(sorted(ns), 2)}
     # In one task, step by step: what a step leaves over is taken up by the next.
     monkeypatch.setattr(suffixes, "STEP", 1)
     walk = suffixes._walk(None, False)
