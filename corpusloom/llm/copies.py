@@ -136,7 +136,7 @@ def radix_buckets(canon: DataFrame, capacity: int = CAPACITY, longest: int | Non
         too_large = [p.isin(at[level]) if at[level] else F.lit(False) for level, p in enumerate(prefix)]
         marked = canon
     else:
-        large = scratch.table(large, "large") if scratch else large.persist()
+        large = (scratch or Scratch(canon.sparkSession, "radix")).table(large, "large")
         marked, too_large = canon, []
         for level, p in enumerate(prefix):
             own = large.where(F.col("level") == level).select(F.col("prefix").alias(f"_p{level}"), F.lit(True).alias(f"_l{level}"))

@@ -40,11 +40,20 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _local(path: str) -> str:
+    """The file where this process runs: itself, or its copy that the session has shipped."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
     import tiktoken
 
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks(_local(path)), special_tokens={})
 
 
 @functools.lru_cache(maxsize=1)
@@ -143,6 +152,7 @@ def encode(scratch: Scratch, docs: DataFrame, key: str, text: str, vocabulary: s
 
     A null or empty text has the empty list.  Rows come out as often as they stand, also with a null key.
     """
+    scratch.spark.sparkContext.addFile(vocabulary)
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     cut = scratch.table(plain.mapInArrow(_chunked(chunk), "chunk long, ids array<long>, counts array<int>, width int, at binary, words array<string>"), "chunks")
     words = cut.select("chunk", F.posexplode("words").alias("place", "word")).select("word", "chunk", "place")
@@ -185,4 +195,4 @@ def round_trip(scratch: Scratch, docs: DataFrame, key: str, text: str, vocabular
 
 @functools.lru_cache(maxsize=1)
 def _token_bytes(path: str) -> list[bytes]:
-    return [b for b, _ in sorted(ranks(path).items(), key=lambda x: x[1])]
+    return [b for b, _ in sorted(ranks(_local(path)).items(), key=lambda x: x[1])]

@@ -5,8 +5,9 @@ evaluation items have.  An item's passages of ``RUN`` words are sought from thei
 candidates (document, item, offset), and the other terms' lists, adjusted by that offset, are intersected with them;
 RUN - 3 consecutive terms at one offset are an exact shared run of RUN words.
 
-Where the items' terms fit ``VOCABULARY`` they are sent to the workers, which then post only positions that can be
-part of a shared run; beyond that bound all terms are posted and the join on the term does the rest.
+The items' terms are sent to the workers, which then post only positions that can be part of a shared run: as they are
+where they fit ``VOCABULARY``, beyond that as a filter of ``FILTER`` bits, which lets some other terms pass; the join
+on the term does the rest.
 """
 
 from __future__ import annotations
@@ -22,10 +23,35 @@ from .shingles import Batch, WordHashes
 TERM, RUN = 4, 12
 #: Terms of all items up to which they are broadcast (8 bytes each).
 VOCABULARY = 1_000_000
+#: Bits of the filter that stands for more terms than that (8 MB, whatever their number).
+FILTER = 1 << 26
+
+
+class _Exact:
+    """A sorted array of terms."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.zeros(len(x), bool)
+        return self.terms[np.minimum(np.searchsorted(self.terms, x), len(self.terms) - 1)] == x
+
+
+class _Filter:
+    """A bit for each value of a term modulo FILTER."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        at = x.view(np.uint64) % np.uint64(len(self.words) * 64)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def _postings(known, run: int):
-    """Postings of each text; with *known* terms only, and only in stretches of at least *run* - 3 of them."""
+    """Postings of each text; of *known* terms only, and only in stretches of at least *run* - 3 of them."""
 
     def post(batches):
         hashes = WordHashes()
@@ -40,11 +66,8 @@ def _postings(known, run: int):
             text = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(terms))))
             if table is None:
                 keep = np.arange(len(terms))
-            elif not len(table):
-                continue
             else:
-                near = np.searchsorted(table, signed)
-                hit = table[np.minimum(near, len(table) - 1)] == signed
+                hit = table.has(signed)
                 # Ends of stretches: where a hit does not follow a hit of the same text.
                 prev = np.concatenate(([False], hit[:-1] & (text[1:] == text[:-1])))
                 first = np.flatnonzero(hit & ~prev)
@@ -66,11 +89,18 @@ def _index(df: DataFrame, key: str, text: str, known=None, run: int = TERM) -> D
 
 
 def _known(scratch: Scratch, items: DataFrame):
-    """The items' terms as a sorted array for the workers, or None if they are too many."""
+    """The items' terms for the workers; on the driver, at most VOCABULARY numbers or FILTER bits."""
     terms = items.select("term").distinct()
-    if terms.count() > VOCABULARY:
-        return None
-    found = np.sort(np.array([r[0] for r in terms.collect()], np.int64))
+    if terms.count() <= VOCABULARY:
+        found = _Exact(np.sort(np.array([r[0] for r in terms.collect()], np.int64)))
+    else:
+        # The unsigned remainder by a power of two is the lower bits.
+        at = F.col("term").bitwiseAND(F.lit(FILTER - 1))
+        bits = terms.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int((term & {FILTER - 1}) & 63))")).alias("bits"))
+        words = np.zeros(FILTER // 64, np.uint64)
+        for r in bits.toLocalIterator():
+            words[r["word"]] = r["bits"] & (1 << 64) - 1
+        found = _Filter(words)
     return scratch.spark.sparkContext.broadcast(found)
 
 
