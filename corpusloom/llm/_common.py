@@ -78,15 +78,9 @@ class Scratch:
 
 
 def guarded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """*df* with a broadcast hint if it has at most BROADCAST_ROWS rows, else unchanged (a shuffled join follows)."""
+    """*df* with a broadcast hint if it has at most BROADCAST_ROWS rows, else with one to merge sorted sides."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
-def first_of_each(scratch: Scratch, signed: DataFrame, node: str = "node") -> DataFrame:
-    """One row of the written table *signed* (with a unique column row) for each node."""
-    first = scratch.table(signed.groupBy(node).agg(F.min("row").alias("row")).select("row"), "first")
-    return signed.join(guarded_broadcast(first), "row", "left_semi")
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
 
 def mix(*cols: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, arrow_map, first_of_each, pairs_within
+from ._common import Scratch, arrow_map, pairs_within
 from .linking import Jaccard, groups, link
 from .shingles import CODED, RUN, Batch, bit_marks, coded, minhash, one_wildcard_keys, run_sets
 
@@ -30,9 +30,10 @@ def coded_texts(scratch: Scratch, plain: DataFrame, fields: list[str]) -> tuple[
 
     *plain* is (id, fields).  Equal word sequences of a field are one node; texts without words are left out.
     """
-    signed = scratch.table(plain.mapInArrow(coded(fields), CODED).withColumn("row", F.monotonically_increasing_id()), "coded")
+    signed = scratch.table(plain.mapInArrow(coded(fields), CODED), "coded")
     members = scratch.table(signed.select("field", "id", "node").distinct(), "members")
-    one_each = first_of_each(scratch, signed).select("field", "node", "codes")
+    # All codes of a node are equal; copies fall together in the map tasks already.
+    one_each = signed.groupBy("node").agg(F.first("field").alias("field"), F.first("codes").alias("codes")).select("field", "node", "codes")
     one_each._scratch_path = signed._scratch_path
     return members, one_each
 

@@ -447,6 +447,38 @@ def test_short_texts_meet(spark, scratch):
     assert got[1] == got[2] and got[3] != got[4] and len({*got.values()}) == 5
 
 
+def test_pairs_at_the_threshold_within_large_families(spark, scratch):
+    """Recall of pairs planted at a similarity of 0.60 to 0.70 whose texts share a head with a large family."""
+    rng, rows, planted = random.Random(17), [], 0
+    heads = [[f"f{f}h{i}" for i in range(30)] for f in range(3)]
+    for k in range(330):
+        head = heads[k % 3]
+        tail = [f"t{k}x{i}" for i in range(rng.randrange(60, 160))]
+        rows.append((2 * k, " ".join(head + tail)))
+        for edits in range(1, 60):
+            w = list(tail)
+            for at in random.Random(k).sample(range(len(w)), min(edits, len(w))):
+                w[at] = f"e{k}x{at}"
+            a, b = runs(" ".join(head + tail)), runs(" ".join(head + w))
+            likeness = len(a & b) / len(a | b)
+            if likeness < 0.70:
+                break
+        if likeness >= 0.60:
+            planted += 1
+            rows.append((2 * k + 1, " ".join(head + w)))
+    want = brute_groups(rows)
+    assert planted > 200 and len(want) >= planted
+    df = spark.createDataFrame(rows, "uuid long, c string").repartition(8)
+    found = {tuple(r)[1:] for r in neardup.near_duplicate_pairs(scratch, df, "uuid", ["c"], "a", "b").collect()}
+    spans = collections.defaultdict(list)
+    for r in overlap.overlap_groups(scratch, df, "uuid", "c").collect():
+        spans[r.root].append(r.id)
+    spanned = {p for g in spans.values() for p in itertools.combinations(sorted(g), 2)}
+    print("recall of variants and of spans:", len(found & want) / len(want), len(spanned & want) / len(want))
+    assert found <= want and spanned <= want
+    assert len(found) >= 0.995 * len(want) and len(spanned) >= 0.995 * len(want)
+
+
 def test_coverage_takes_all_places(spark, scratch):
     rng = random.Random(5)
     w = [f"w{rng.randrange(10**6)}" for _ in range(500)]
