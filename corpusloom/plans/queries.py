@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions import arrays, text
 from ..functions.code import code_facts
 from ..functions.fixed import DEV_BUCKETS, DESCRIPTION_FILE, GATES, INSTRUCTION_FILE, LICENSE_PREFIXES, REFERENCE_FILES, SCAN_PATTERNS, SOLUTION_FILE, SOLUTION_MARKER, SOLUTION_PATH, SOLVE_SCRIPT, TEST_SCRIPT
 from ..operators import aggregates, dedup, episodes, groups, isolated, rules, sampling, validation
-from ..session import read_table, spread, written
+from ..session import place, read_table, spread, written
 from ..sources import folders, records, registry
 from . import made, pipelines
 
@@ -334,6 +335,24 @@ def made_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.profile(_made(spark, sf_dir))["sizes"].where("measure <> 'python_lines'")
 
 
+_PROFILE = f"""with m as (select uuid, {made.KIND_SQL} as k, {made.ELEMENTS_SQL} as n, {made.OPS_SQL} as ops, case {made.KIND_SQL} when 0 then 1 when 4 then 2 when 5 then 1 when 6 then 1 when 7 then 0 end as t from kernel_rows),
+capped as (select 'ops_per_row' as section, case when coalesce(len(ops), 0) >= 4 then '4+' else coalesce(len(ops), 0)::varchar end as label from m union all select 'tensors', t::varchar from m where t is not null
+union all select 'ops', unnest(ops) from m union all select 'licenses', unnest(case uuid % 5 when 1 then ['MIT', 'Apache-2.0'] when 3 then ['GPL-3.0'] when 4 then ['BSD'] else ['MIT'] end) from m)
+select section, label, count(*) as n from capped group by 1, 2
+union all (select section, label, n from (select count(*) as rows, count(*) filter (k <> 1) as parses, count(*) filter (k not in (1, 2)) as get_inputs, count(*) filter (k not in (1, 5)) as class_exists, count(*) filter (n <= 1024) as tiny, count(*) filter (n > 1000000) as large from m),
+lateral (values ('interface', 'parses', parses), ('interface', 'get_inputs', get_inputs), ('interface', 'get_init_inputs', parses), ('interface', 'class_exists', class_exists), ('interface', 'triton_class', 0), ('interface', 'entry_point', rows), ('interface', 'all', 0),
+('provenance', 'synthetic', rows), ('provenance', 'no_license', 0), ('inputs', 'tiny', tiny), ('inputs', 'large', large)) v(section, label, n))"""
+
+
+@query(_PROFILE)
+def made_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted sections of the profile in one table."""
+    sections = pipelines.profile(_made(spark, sf_dir))
+    named = {"interface": "measure", "provenance": "measure", "inputs": "measure", "tensors": "label", "ops_per_row": "label", "ops": "op", "licenses": "license"}
+    parts = [sections[s].select(F.lit(s).alias("section"), F.col(label).alias("label"), F.col("n").cast("long").alias("n")) for s, label in named.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("select case uuid % 11 " + " ".join(f"when {i} then '{r}'" for i, (_, r) in enumerate(SCAN_PATTERNS)) + f" when 9 then '{SCAN_PATTERNS[-1][1]}' end as reason, count(*) as n from kernel_rows group by 1")
 def made_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pattern of the scan hits, and harmless lines do not."""
@@ -640,6 +659,63 @@ def registry_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry.select("name", "version", "description", F.size("tasks").cast("long").alias("n_tasks"), F.col("tasks")[0]["name"].alias("first"), F.element_at("tasks", -1)["name"].alias("last"))
 
 
+# ---- written and read back ---------------------------------------------------------------------------------------
+
+@query("select task, mode, oracle, nop, keep, reason from validation")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as JSON lines in order, nulls among them, and read back by their schema."""
+    at = place(spark, "lines")
+    records.write_json_lines(read_table(spark, sf_dir, "validation", "task", "mode", "oracle", "nop", "keep", "reason"), at, "task")
+    return records.read_json_lines(spark, at, records.VALIDATION_SCHEMA)
+
+
+@query(f"select case when reason is null then 'kept' else 'dropped' end as output, uuid, module_name, reason from (select uuid, module_name, {_REASON} as reason from kernel_rows)")
+def fan_out_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decided table written to a file of kept and one of dropped rows."""
+    kept, dropped = place(spark, "kept"), place(spark, "dropped")
+    records.write_fan_out(_decided(spark, sf_dir), kept, dropped)
+    schema = "uuid bigint, module_name string, reason string"
+    both = [records.read_json_lines(spark, at, schema).withColumn("output", F.lit(name)) for name, at in (("kept", kept), ("dropped", dropped))]
+    return both[0].unionByName(both[1]).select("output", "uuid", "module_name", "reason")
+
+
+@query("select distinct lower(trim(entry_point)) as task from kernel_rows where trim(entry_point) <> '' and not regexp_matches(trim(entry_point), '\\s')")
+def list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of names, one a line, written and read."""
+    at = place(spark, "list")
+    names = read_table(spark, sf_dir, "kernel_rows", "entry_point").select(F.lower(F.trim("entry_point")).alias("task")).where("task <> ''").distinct()
+    records.write_list(names.where(~F.col("task").rlike(r"\s")), "task", at)
+    return records.read_list(spark, at)
+
+
+@query(rf"select row_number() over (order by task) - 1 as index, task as name, 'tasks/' || task as path from {_KEPT}")
+def registry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of the kept tasks and an empty one, written as one document; the tasks of the first, numbered."""
+    at = place(spark, "registry")
+    kept = read_table(spark, sf_dir, "validation", "task", "keep").where("keep").select(text.tidy_record_name("task").alias("name")).distinct().withColumn("path", F.concat(F.lit("tasks/"), "name"))
+    registry.write_registry(registry.registry(kept, "tasks", "kept tasks").unionByName(registry.registry(kept.limit(0), "none", "no tasks")), at)
+    return registry.read_registry(spark, at, "tasks").withColumn("index", F.col("index").cast("long"))
+
+
+_FOLDER = f"'task-' || case when length(uuid::varchar) < 5 then lpad(uuid::varchar, 5, '0') else uuid::varchar end || '-' || 'unit' || (uuid % 3)"
+
+
+@query(f"select {_FOLDER} as folder, 'Implement Unit' || (uuid % 3) || 'New.' || chr(10) as instruction, null::varchar as solution, null::varchar as absent, uuid as number, 'Unit' || (uuid % 3) as class_name, true as solvable, '#!/bin/bash' || chr(10) as test from kernel_rows")
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's folder written to storage and read back: files by name, the TOML description by its schema, and
+    result files with their detail."""
+    at = place(spark, "tasks").removeprefix("file://")
+    folders.write_folders(pipelines.task_files(_made(spark, sf_dir)), at)
+    read = folders.read_records(spark, at, [INSTRUCTION_FILE, SOLUTION_FILE, DESCRIPTION_FILE, "absent"])
+    described = F.from_json(registry.json_of_toml(F.col(f"`{DESCRIPTION_FILE}`")), "metadata struct<uuid: bigint, module_name: string>")
+    results = folders.read_results(spark, at, SOLVE_SCRIPT, TEST_SCRIPT).select("folder", F.startswith("result", F.lit("#!/bin/bash")).alias("solvable"), F.col("detail").alias("test"))
+    listed = folders.list_folders(spark, at)
+    rows = read.select("folder", F.col(f"`{INSTRUCTION_FILE}`").alias("instruction"), F.col(f"`{SOLUTION_FILE}`").alias("solution"), "absent", described.alias("d"))
+    return rows.join(listed, "folder").join(results, "folder").select("folder", "instruction", "solution", "absent", F.col("d.metadata.uuid").alias("number"), F.col("d.metadata.module_name").alias("class_name"), "solvable", "test")
+
+
+# ---- samples -----------------------------------------------------------------------------------------------------
+
 @query("select uuid, module_name from kernel_rows order by uuid limit 100")
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.first_n(read_table(spark, sf_dir, "kernel_rows", "uuid", "module_name"), "uuid", 100)

@@ -64,15 +64,19 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """*df* as a table written to the shared folder, for results that are dear and read more than once.
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what lies there is removed when the Python process ends, unless the session has
+    ended before."""
+    path = f"{shared_folder(spark)}/corpusloom-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
 
-    It is removed when the Python process ends, unless the session has ended before.
-    """
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/corpusloom-{name}-{uuid.uuid4().hex[:12]}"
+def written(df: DataFrame, name: str) -> DataFrame:
+    """*df* as a table written to the shared folder, for results that are dear and read more than once."""
+    path = place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -50,7 +50,8 @@ def write_folders(files: DataFrame, root: str) -> None:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(folder, path, text) of every file under the folders of *root*; folders with a space in the name are no records."""
+    """(folder, path, text) of every file under the folders of *root*; folders with a space in the name are no records.
+    Spark's scan passes over files of no bytes, so an empty file is as one that is missing."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # Paths come as URIs; what follows the root's own path is the folder and the path within it.
     base = root.rstrip("/") if "://" in root else os.path.abspath(root)
