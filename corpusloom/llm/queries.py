@@ -15,7 +15,7 @@ from .leak import passages, proximity
 from .neardup import near_duplicate_groups, near_duplicate_pairs
 from .overlap import coverage, cross_split_pairs, splits_of
 from .parsing import judged, rates, unparsable
-from .quality import kinds, statistics
+from .quality import fitted, kinds, statistics
 from .splits import assign_splits, module_group, torn_modules
 
 
@@ -133,7 +133,9 @@ def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinds(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    weights = fitted(docs, "doc_id", "text", _read(spark, sf_dir, "labels", "doc_id", "text_kind"), "doc_id", "text_kind")
+    return kinds(docs, "doc_id", "text", weights).withColumnRenamed("id", "doc_id")
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

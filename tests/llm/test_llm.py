@@ -668,6 +668,21 @@ def test_autocorrelation_and_period():
     assert quality.rhythm([4, 9, 30] * 20) > 0.9 > quality.rhythm([4, 9, 30, 7, 22, 15, 3, 28])
 
 
+def test_fitted_weights(spark):
+    """The fit leaves the structure's decisions on clear texts, follows labels, and without labels is the prior."""
+    clear = [(LIST, "list"), (TABLE, " Table "), (JUNK, "junk"), (PROSE, "prose")]
+    docs = [(10 * k + i, t) for k in range(8) for i, (t, _) in enumerate(clear)] + [(900, None), (901, ""), (None, LIST)]
+    labels = [(10 * k + i, n) for k in range(8) for i, (_, n) in enumerate(clear)] + [(1, "list"), (2, None), (900, "list"), (None, "junk"), (555, "list")]
+    d, n = frame(spark, docs, "doc_id long, text string"), frame(spark, labels, "doc_id long, text_kind string")
+    weights = quality.fitted(d, "doc_id", "text", n, "doc_id", "text_kind")
+    assert weights.shape == quality.PRIOR.shape and (weights != quality.PRIOR).any()
+    assert [quality.text_kind(t, weights) for t, _ in clear] == ["list", "table", "junk", None]
+    assert (quality.fitted(d, "doc_id", "text", n.limit(0), "doc_id", "text_kind") == quality.PRIOR).all()
+    # Labels enough against a finding outweigh it.
+    x = np.array([quality.features(LIST.split("\n"))[0]] * 5000)
+    assert int(np.argmax(x[0] @ quality.fit(x, np.full(5000, 3)))) == 3 and int(np.argmax(x[0] @ quality.PRIOR)) == 0
+
+
 def test_json_notebooks_in_any_order():
     cells = [{"cell_type": "markdown", "source": LIST.splitlines(keepends=True)}]
     for text in (json.dumps({"cells": cells, "metadata": {"k": "v" * 400}}), json.dumps({"metadata": {"k": "v" * 400}, "cells": cells})):

@@ -98,8 +98,10 @@ def test_proximity_against_brute_force(run, con):
     assert {(r.doc_id, r.item_id): r.terms for r in run("p7_near")} == want
 
 
-def test_found_kinds_are_those_of_the_texts(run, con):
-    want = {d: quality.text_kind(t) for d, t in con.execute("select doc_id, text from documents").fetchall()}
+def test_found_kinds_are_those_of_the_texts(run, con, spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    weights = quality.fitted(docs, "doc_id", "text", labels, "doc_id", "text_kind")
+    want = {d: quality.text_kind(t, weights) for d, t in con.execute("select doc_id, text from documents").fetchall()}
     assert {r.doc_id: r.text_kind for r in run("p8_found")} == {d: k for d, k in want.items() if k}
 
 
