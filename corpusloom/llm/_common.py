@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid as _uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows of two or three numbers up to which a side may be broadcast (about 24 MB); beyond it a shuffled join runs.
 BROADCAST_ROWS = 1_000_000
 #: Members of a group that one task pairs with as many others.
@@ -21,18 +22,6 @@ PAIR_BLOCK = 1024
 SLICE = 1 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = getattr(shared_root, "own", None)
-        if root is None:
-            root = shared_root.own = tempfile.mkdtemp(prefix="corpusloom-")
-    return root.rstrip("/")
-
-
 class Scratch:
     """Intermediates of one query, written as tables in the shared folder; a lost executor costs a re-read, not a re-run.
 
@@ -42,7 +31,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/corpusloom-{name}-{_uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/corpusloom-{name}-{_uuid.uuid4().hex[:12]}"
         self._n = 0
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         atexit.register(self.close)
@@ -83,11 +72,6 @@ def guarded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
 
 
-def mix(*cols: Column) -> Column:
-    """One 64-bit key of several columns."""
-    return F.xxhash64(*cols)
-
-
 def pairs_within(members: DataFrame, group: list[str], key: str, a: str, b: str) -> DataFrame:
     """All pairs of different *key* within each group, smaller first, without gathering a group in one task.
 
