@@ -42,6 +42,9 @@ KINDS = ("list", "table", "junk")
 _CELL = re.compile(r"^(?:# %%.*|#\s*In\s*\[.*\]:?.*|```.*|~~~.*)$")
 _MARK = re.compile(r"\s*(?:[-*+•‣◦▪–·]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxlc]{1,5})[.)]|\[[ xX]\])\s+\S")
 _CODE = re.compile(r"^\s*(?:import|from|def|class|return|for|while|if|elif|else|try|except|with|print|assert|raise|@)\b|[=(){};]|::|->")
+_ENDS = frozenset(".!?:…»\"”")
+_ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+_ASCII_DIGITS, _ASCII_SPACE = b"0123456789", b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _END = re.compile(r"[.!?:…»\"”]$")
 _MARKUP = re.compile(r"\s*</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _RULE = re.compile(r"[\s|+:=\-─━┼┬┴├┤╪]+")
@@ -51,7 +54,6 @@ _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1b]|\[\d*[mKJH]")
 _BLOCKS = re.compile(r"[▀-▟]")
 _ODD = re.compile(r"[\u0080-¿ÂÃâïŒœ€™‘-„†-•ˆ˜�]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
-_WORD = re.compile(r"[a-z0-9_]+")
 _DIGITS = re.compile(r"\d")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _VOWEL = re.compile(r"[aeiouyàáâäåæèéêëìíîïòóôöøùúûüœ]")
@@ -105,7 +107,13 @@ def autocorrelation(lengths: list[int], lag: int = 1) -> float:
 
 def rhythm(lengths: list[int]) -> float:
     """The highest autocorrelation of line lengths at any of LAGS; 1 for lines of equal length."""
-    return max(autocorrelation(lengths, lag) for lag in LAGS)
+    n = len(lengths)
+    if n <= LAGS[0] + 1:
+        return 0.0
+    x = np.array(lengths, float)
+    x -= x.sum() / n
+    total = float(x @ x)
+    return max(float(x[:-lag] @ x[lag:]) if n > lag + 1 else 0.0 for lag in LAGS) / total if total else 1.0
 
 
 def indent_period(lines: list[str]) -> float:
@@ -122,12 +130,22 @@ def indent_period(lines: list[str]) -> float:
 
 def line_end_share(lines: list[str]) -> float:
     """Share of lines that end like a sentence."""
-    return sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines)
+    return sum(x.rstrip()[-1:] in _ENDS for x in lines) / len(lines)
+
+
+def counts(text: str) -> tuple[int, int, int]:
+    """Letters, digits and symbols (what is neither of them nor white space) of *text*."""
+    if text.isascii():
+        raw = text.encode()
+        n, other = len(raw), len(raw.translate(None, _ASCII_LETTERS))
+        rest = len(raw.translate(None, _ASCII_LETTERS + _ASCII_DIGITS))
+        return n - other, other - rest, len(raw.translate(None, _ASCII_LETTERS + _ASCII_DIGITS + _ASCII_SPACE))
+    return sum(map(len, _LETTERS.findall(text))), len(_DIGITS.findall(text)), len(_SYMBOL.findall(text))
 
 
 def symbol_ratio(text: str, solid: int) -> float:
     """Share of characters other than letters, digits and white space among those other than white space."""
-    return len(_SYMBOL.findall(text)) / solid if solid else 0.0
+    return counts(text)[2] / solid if solid else 0.0
 
 
 def _is_table(lines: list[str]) -> bool:
@@ -232,12 +250,11 @@ def features(lines: list[str]) -> tuple[np.ndarray, int]:
     solid = sum(map(len, tokens))
     shows = structure(lines, text, solid)
     lengths = [len(x.strip()) for x in lines]
-    words = _WORD.findall(text.lower())
-    letters = sum(map(len, _LETTERS.findall(text)))
+    letters, digits, symbols = counts(text)
     n = len(lines)
     return np.array([
         1.0, *(float(shows == k) for k in KINDS), indent_period(lines), min(1.0, max(-1.0, rhythm(lengths))), min(n, 30) / 30, min(sum(lengths) / n, 120) / 120,
-        min(len(tokens) / n, 20) / 20, min(sum(map(len, words)) / max(1, len(words)), 20) / 20, symbol_ratio(text, solid), line_end_share(lines), letters / solid, len(_DIGITS.findall(text)) / solid,
+        min(len(tokens) / n, 20) / 20, min(solid / len(tokens), 20) / 20, symbols / solid, line_end_share(lines), letters / solid, digits / solid,
     ]), solid
 
 
