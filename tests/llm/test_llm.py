@@ -688,3 +688,13 @@ def test_json_notebooks_in_any_order():
     for text in (json.dumps({"cells": cells, "metadata": {"k": "v" * 400}}), json.dumps({"metadata": {"k": "v" * 400}, "cells": cells})):
         assert quality.text_kind(text) == "list"
     quality.text_kind('{"cells": [' * 3000)
+
+
+def test_runs_of_few_texts_are_known_as_frequent(spark, scratch, monkeypatch):
+    """However many texts there are: heads that 20 texts of 400 share are no first runs of theirs, so they make no pairs."""
+    monkeypatch.setattr(linking, "ORDER_TEXTS", 10)
+    codes = lambda words: b"".join(w.to_bytes(4, "big") for w in words)
+    texts = [("c", k, codes([*range(1 + k // 20 * 100, 41 + k // 20 * 100), *range(100_000 + 100 * k, 100_040 + 100 * k)])) for k in range(400)]
+    table = scratch.table(spark.createDataFrame(texts, "field string, node long, codes binary"))
+    first = linking.Jaccard(scratch, table, 4, 0.6).first_runs(scratch.table(table.select("node"))).groupBy("key").count()
+    assert first.where("count > 1").count() == 0 and first.count() > 400 * 30
