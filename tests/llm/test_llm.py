@@ -698,3 +698,14 @@ def test_runs_of_few_texts_are_known_as_frequent(spark, scratch, monkeypatch):
     table = scratch.table(spark.createDataFrame(texts, "field string, node long, codes binary"))
     first = linking.Jaccard(scratch, table, 4, 0.6).first_runs(scratch.table(table.select("node"))).groupBy("key").count()
     assert first.where("count > 1").count() == 0 and first.count() > 400 * 30
+
+
+def test_near_duplicates_leave_no_large_table(spark, scratch):
+    """What is as large as the texts is dropped as soon as the links are found."""
+    from pathlib import Path
+
+    rows = corpus(2, 80, 40)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "uuid long, c string")
+    neardup.near_duplicate_groups(scratch, df, "uuid", ["c"]).collect()
+    left = {p.name[3:] for p in Path(scratch.root.removeprefix("file:")).iterdir()}
+    assert "members" in left and not left & {"coded", "texts", "signed", "runs", "pairs", "sorted", "sets"}
