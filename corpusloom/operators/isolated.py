@@ -54,7 +54,7 @@ for line in requests:
 def run_child(rows: list[dict], check: str, row_seconds: int = ROW_SECONDS, path: list[str] | None = None, grace: int = GRACE_SECONDS) -> dict[int, str | None]:
     """id -> reason of the rows that a child answered for; *check* is ``module:function``.
 
-    The child has its own process group, which is killed when the time for the whole batch is over or it is done.
+    The child has its own process group, which is killed when it is done, or no answer came in a row's time and *grace*.
     Sockets in it refuse to connect, to send and to look up names, so a row that downloads fails with a reason.
     Only the reply pipe is read, so what a row prints cannot forge an answer, and only ids that were asked count.
     """
@@ -63,7 +63,7 @@ def run_child(rows: list[dict], check: str, row_seconds: int = ROW_SECONDS, path
     child = subprocess.Popen([sys.executable, "-c", _CHILD, check, str(row_seconds), str(write)], stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, pass_fds=(write,), env=env, start_new_session=True, text=True)
     os.close(write)
     asked, answers, held = {r["id"] for r in rows}, {}, b""
-    end = time.monotonic() + len(rows) * row_seconds + grace
+    end = time.monotonic() + row_seconds + grace
     try:
         try:
             child.stdin.write("".join(json.dumps(r) + "\n" for r in rows))
@@ -85,6 +85,7 @@ def run_child(rows: list[dict], check: str, row_seconds: int = ROW_SECONDS, path
                         a = json.loads(line)
                         if a["id"] in asked and a["id"] not in answers:
                             answers[a["id"]] = a["reason"]
+                            end = time.monotonic() + row_seconds + grace
                     except (ValueError, KeyError, TypeError):
                         continue
     finally:
@@ -103,20 +104,33 @@ def _runner(check: str, batch: int, row_seconds: int, columns: list[str], grace:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 rows = [{c: (None if pd.isna(v) else int(v) if c == "id" else v) for c, v in zip(columns, values)} for values in part[columns].itertuples(index=False)]
-                answers = run_child(rows, check, row_seconds, grace=grace)
+                answers, left = {}, rows
+                while left:
+                    answers |= run_child(left, check, row_seconds, grace=grace)
+                    # Rows are run in order, so the first one without an answer is at fault; those behind it never began.
+                    left = [r for r in left if r["id"] not in answers][1:]
                 yield pd.DataFrame({"id": [r["id"] for r in rows], "answered": [r["id"] in answers for r in rows], "reason": [answers.get(r["id"]) for r in rows]}).astype({"id": "int64"})
 
     return run
 
 
-def isolated_map(df: DataFrame, id_column: str, columns: list[str], check: str, batch: int = BATCH, row_seconds: int = ROW_SECONDS, grace: int = GRACE_SECONDS) -> DataFrame:
+def isolated_map(df: DataFrame, id_column: str, columns: list[str], check: str, batch: int = BATCH, row_seconds: int = ROW_SECONDS, grace: int = GRACE_SECONDS, once: bool = False) -> DataFrame:
     """(id, reason): *check* applied to each row in child processes; null if the row passes.
 
-    Rows of a batch that got no answer (the child crashed or hung) are run again, each in a child of its own; what is
-    still unanswered gets LOST.  Rows with a null id are left out.  The first replies are written, so a lost executor
-    makes no untrusted row run again.
+    A row that got no answer (the child crashed or hung) is run again in a child of its own, and the rows behind it go
+    on in another one; what is still unanswered gets LOST.  Rows with a null id are left out.  The first replies are
+    written, so a lost executor makes no untrusted row run again.
+
+    With *once*, rows that are equal in *columns* are run once, with their smallest id, and share the reason; *check*
+    must not depend on the id.
     """
     rows = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *columns)
+    if once:
+        keyed = rows.withColumn("copy", F.sha2(F.to_json(F.struct(*columns)), 256))
+        least = keyed.groupBy("copy").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in columns))
+        least = written(least.repartition(df.sparkSession.sparkContext.defaultParallelism), "distinct")
+        replies = isolated_map(least, "id", columns, check, batch, row_seconds, grace)
+        return keyed.select("id", "copy").join(least.select("copy", F.col("id").alias("own")), "copy").join(replies.withColumnRenamed("id", "own"), "own").select("id", "reason")
     names = ["id", *columns]
     first = rows.mapInPandas(_runner(check, batch, row_seconds, names, grace), "id long, answered boolean, reason string")
     first = written(first, "replies")

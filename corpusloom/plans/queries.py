@@ -363,9 +363,10 @@ def made_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(made.runs_sql(2))
 def made_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's program run twice in child processes: rows that hang, crash, go online, forge replies or give other
-    things than one finite, repeatable array have a reason of their own, and cost their batch nothing."""
+    things than one finite, repeatable array have a reason of their own, and cost their batch nothing.  Equal programs
+    are run once for all their rows."""
     rows = spread(made.runs(read_table(spark, sf_dir, "kernel_rows", "uuid")))
-    return isolated.isolated_map(rows, "uuid", ["python_code", "module_name"], "corpusloom.operators.checks:runs_deterministically", row_seconds=2, grace=10).withColumnRenamed("id", "uuid")
+    return isolated.isolated_map(rows, "uuid", ["python_code", "module_name"], "corpusloom.operators.checks:runs_deterministically", row_seconds=2, grace=10, once=True).withColumnRenamed("id", "uuid")
 
 
 # ---- splits -----------------------------------------------------------------------------------------------------

@@ -129,3 +129,21 @@ def test_isolated_map_retries(spark):
     assert got[0] is None and got[1].startswith("exec: SyntaxError") and got[2] is None and got[3] is None and len(got) == 4
     lost = {r.id: r.reason for r in isolated.isolated_map(df, "uuid", ["python_code"], "os:_exit", batch=4).collect()}
     assert set(lost.values()) >= {isolated.LOST} or all(v.startswith("exec:") for v in lost.values())
+
+
+def test_a_crash_costs_one_more_child(spark, tmp_path, monkeypatch):
+    """Rows behind one that crashes go on together, and equal rows are run once for all."""
+    import os
+
+    log = tmp_path / "starts"
+    (tmp_path / "iso_log.py").write_text(f"import os\nopen({str(log)!r}, 'a').write('started\\n')\ndef check(row):\n    open({str(log)!r}, 'a').write(row['python_code'] + '\\n')\n    if row['python_code'] == 'crash': os._exit(3)\n    return row['python_code']\n")
+    monkeypatch.setattr(isolated.sys, "path", [*isolated.sys.path, str(tmp_path)])
+    rows = [{"id": i, "python_code": c} for i, c in enumerate(("a", "crash", "b", "c", "d", "e"))]
+    import pandas as pd
+
+    out = next(isolated._runner("iso_log:check", 25, 2, ["id", "python_code"], 10)(iter([pd.DataFrame(rows)])))
+    assert out.reason.tolist() == ["a", None, "b", "c", "d", "e"] and out.answered.tolist() == [True, False, True, True, True, True]
+    assert log.read_text().split().count("started") == 2
+    df = spark.createDataFrame([(i, "x = 1" if i % 2 else "def broken(") for i in range(60)], "uuid bigint, python_code string")
+    got = {r.id: r.reason for r in isolated.isolated_map(df, "uuid", ["python_code"], "corpusloom.operators.checks:parses", once=True).collect()}
+    assert len(got) == 60 and all((got[i] is None) == bool(i % 2) for i in range(60))
