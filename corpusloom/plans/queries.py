@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -701,16 +702,29 @@ def registry_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLDER = f"'task-' || case when length(uuid::varchar) < 5 then lpad(uuid::varchar, 5, '0') else uuid::varchar end || '-' || 'unit' || (uuid % 3)"
 
 
+#: Folders that folder_files has on storage at a time (some 45 KB each with their directories).
+_AT_ONCE = 8_000
+
+
 @query(f"select {_FOLDER} as folder, 'Implement Unit' || (uuid % 3) || 'New.' || chr(10) as instruction, null::varchar as solution, null::varchar as absent, uuid as number, 'Unit' || (uuid % 3) as class_name, true as solvable, '#!/bin/bash' || chr(10) as test from kernel_rows")
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's folder written to storage and read back: files by name, the TOML description by its schema, and
-    result files with their detail."""
-    at = place(spark, "tasks").removeprefix("file://")
-    folders.write_folders(pipelines.task_files(_made(spark, sf_dir)), at)
-    read = folders.read_records(spark, at, [INSTRUCTION_FILE, SOLUTION_FILE, DESCRIPTION_FILE, "absent"])
+    result files with their detail.  Storage holds at most _AT_ONCE folders at a time, each about eleven blocks of it."""
+    at, waved, kept = place(spark, "tasks").removeprefix("file://"), place(spark, "waves"), place(spark, "files")
+    numbers = read_table(spark, sf_dir, "kernel_rows", "uuid")
+    waves = max(1, -(-numbers.count() // _AT_ONCE))
+    numbers.withColumn("wave", F.pmod(F.xxhash64("uuid"), F.lit(waves))).repartition("wave").write.partitionBy("wave").parquet(waved)
+    cores = spark.sparkContext.defaultParallelism
+    for wave in range(waves):
+        own = spark.read.schema("uuid long, wave long").parquet(waved).where(F.col("wave") == wave).select("uuid")
+        folders.write_folders(pipelines.task_files(made.programs(own.repartition(cores))), at)
+        folders.read_files(spark, at).write.mode("append").option("compression", "zstd").parquet(kept)
+        shutil.rmtree(at)
+    files = spark.read.schema("folder string, path string, text string").parquet(kept)
+    read = folders.read_records(spark, at, [INSTRUCTION_FILE, SOLUTION_FILE, DESCRIPTION_FILE, "absent"], files)
     described = F.from_json(registry.json_of_toml(F.col(f"`{DESCRIPTION_FILE}`")), "metadata struct<uuid: bigint, module_name: string>")
-    results = folders.read_results(spark, at, SOLVE_SCRIPT, TEST_SCRIPT).select("folder", F.startswith("result", F.lit("#!/bin/bash")).alias("solvable"), F.col("detail").alias("test"))
-    listed = folders.list_folders(spark, at)
+    results = folders.read_results(spark, at, SOLVE_SCRIPT, TEST_SCRIPT, files).select("folder", F.startswith("result", F.lit("#!/bin/bash")).alias("solvable"), F.col("detail").alias("test"))
+    listed = folders.list_folders(spark, at, files)
     rows = read.select("folder", F.col(f"`{INSTRUCTION_FILE}`").alias("instruction"), F.col(f"`{SOLUTION_FILE}`").alias("solution"), "absent", described.alias("d"))
     return rows.join(listed, "folder").join(results, "folder").select("folder", "instruction", "solution", "absent", F.col("d.metadata.uuid").alias("number"), F.col("d.metadata.module_name").alias("class_name"), "solvable", "test")
 

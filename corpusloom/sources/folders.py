@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +29,23 @@ def write_folders(files: DataFrame, root: str) -> None:
     os.makedirs(root)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, top, end = set(), os.path.normpath(root) + os.sep, f".part{os.getpid()}"
         for frame in frames:
             for folder, path, text, executable in frame.itertuples(index=False):
                 target = os.path.normpath(os.path.join(root, folder, path))
-                if not target.startswith(os.path.normpath(root) + os.sep):
+                if not target.startswith(top):
                     raise ValueError(f"path leaves the folder: {path}")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.part{os.getpid()}"
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(text)
-                os.chmod(part, 0o755 if executable else 0o644)
+                below = os.path.dirname(target)
+                if below not in made:
+                    os.makedirs(below, exist_ok=True)
+                    made.add(below)
+                part = target + end
+                fd = os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o644)
+                with open(fd, "wb", buffering=0) as f:
+                    f.write(text.encode("utf-8"))
+                    os.fchmod(fd, 0o755 if executable else 0o644)
                 os.replace(part, target)  # a task that runs twice leaves whole files
+            made.clear()
             yield pd.DataFrame({"n": [len(frame)]})
 
     try:
@@ -49,32 +56,87 @@ def write_folders(files: DataFrame, root: str) -> None:
         shutil.rmtree(root, ignore_errors=True)
 
 
+def _below(base: str, within: str) -> Iterator[tuple[str, bytes]]:
+    """(path within *base*, content) of the files at and below *within*, but for hidden and empty ones."""
+    for entry in os.scandir(os.path.join(base, within)):
+        if not _hidden(entry.name):
+            path = f"{within}/{entry.name}"
+            if entry.is_dir():
+                yield from _below(base, path)
+            else:
+                with open(entry.path, "rb", buffering=0) as f:
+                    if content := f.read():
+                        yield path, content
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's own scans pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+#: Folders that one task reads, bytes of text that it passes on at a time.
+_FOLDERS, _BATCH = 2000, 8 << 20
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(folder, path, text) of every file under the folders of *root*; folders with a space in the name are no records.
-    Spark's scan passes over files of no bytes, so an empty file is as one that is missing."""
+    Spark's scan passes over files of no bytes, so an empty file is as one that is missing.
+
+    Under a path that all executors mount, the driver lists the folders only, and tasks read a few thousand of them
+    each: Spark's scan lists every file on the driver and opens four in a task.
+    """
+    if "://" in root:
+        return _scanned(spark, root)
+    base = os.path.abspath(root)
+    names = sorted(n for n in os.listdir(base) if " " not in n and not _hidden(n))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*rows)], ["folder", "path", "text"])
+
+        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
+            whole = os.path.join(base, name)
+            if os.path.isdir(whole):
+                found = _below(base, name)
+            else:
+                with open(whole, "rb") as f:
+                    found = [(name, content)] if (content := f.read()) else []
+            for path, content in found:
+                rows.append((name, path.removeprefix(f"{name}/"), content.decode("utf-8")))
+                size += len(content) + 100
+                if size >= _BATCH:
+                    yield told()
+                    rows, size = [], 0
+        if rows:
+            yield told()
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-len(names) // _FOLDERS))
+    listed = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string())}), "name string")
+    return listed.repartition(tasks).mapInArrow(read, "folder string, path string, text string")
+
+
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Paths come as URIs; what follows the root's own path is the folder and the path within it.
-    base = root.rstrip("/") if "://" in root else os.path.abspath(root)
-    full = F.regexp_replace("path", r"^file:/+", "/") if "://" not in root else F.col("path")
-    inside = F.substr(full, F.lit(len(base) + 2))
-    texts = read.select(inside.alias("p"), F.decode("content", "UTF-8").alias("value"))
-    named = texts.select("p", F.col("value").alias("text"))
+    inside = F.substr(F.col("path"), F.lit(len(root.rstrip("/")) + 2))
+    named = read.select(inside.alias("p"), F.decode("content", "UTF-8").alias("text"))
     return named.select(F.substring_index("p", "/", 1).alias("folder"), F.expr("substring(p, instr(p, '/') + 1)").alias("path"), "text").where(~F.col("folder").contains(" "))
 
 
-def list_folders(spark: SparkSession, root: str) -> DataFrame:
-    """Names of the record folders, sorted."""
-    return read_files(spark, root).select("folder").distinct().orderBy("folder")
+def list_folders(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """Names of the record folders, sorted.  Here and below, *files* are those of :func:`read_files` if they were read."""
+    return (files or read_files(spark, root)).select("folder").distinct().orderBy("folder")
 
 
-def read_records(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+def read_records(spark: SparkSession, root: str, paths: list[str], files: DataFrame | None = None) -> DataFrame:
     """One row per folder with one column per path; a file that is missing is null."""
-    return read_files(spark, root).groupBy("folder").pivot("path", paths).agg(F.first("text"))
+    return (files or read_files(spark, root)).groupBy("folder").pivot("path", paths).agg(F.first("text"))
 
 
-def read_results(spark: SparkSession, root: str, result: str, detail: str) -> DataFrame:
+def read_results(spark: SparkSession, root: str, result: str, detail: str, files: DataFrame | None = None) -> DataFrame:
     """(folder, result, detail): folders that hold *result*, with *detail* where there is one."""
-    files = read_files(spark, root)
+    files = files or read_files(spark, root)
     there = files.where(F.col("path") == result).select("folder", F.col("text").alias("result"))
     extra = files.where(F.col("path") == detail).select("folder", F.col("text").alias("detail"))
     return there.join(extra, "folder", "left")

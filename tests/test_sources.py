@@ -147,3 +147,26 @@ def test_a_crash_costs_one_more_child(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, "x = 1" if i % 2 else "def broken(") for i in range(60)], "uuid bigint, python_code string")
     got = {r.id: r.reason for r in isolated.isolated_map(df, "uuid", ["python_code"], "corpusloom.operators.checks:parses", once=True).collect()}
     assert len(got) == 60 and all((got[i] is None) == bool(i % 2) for i in range(60))
+
+
+def test_folders_are_read_by_tasks(spark, tmp_path):
+    """Many folders are a few tasks, not one for every four files; hidden and empty files are passed over, as by Spark."""
+    for k in range(300):
+        (tmp_path / f"t/f{k}/sub").mkdir(parents=True)
+        (tmp_path / f"t/f{k}/sub/a=b c.txt").write_text(f"é{k}\n")
+        (tmp_path / f"t/f{k}/empty").write_text("")
+        (tmp_path / f"t/f{k}/_hidden").write_text("x")
+    root = str(tmp_path / "t")
+    read = folders.read_files(spark, root)
+    assert read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, read.collect())) == sorted((f"f{k}", "sub/a=b c.txt", f"é{k}\n") for k in range(300))
+
+
+def test_folders_in_waves(spark, sf_dir, monkeypatch):
+    """Few folders on storage at a time: the rows are those of the SQL all the same."""
+    from corpusloom.plans import queries
+
+    from .oracle import connect, same
+
+    monkeypatch.setattr(queries, "_AT_ONCE", 30)
+    same(queries.folder_files(spark, sf_dir), connect(sf_dir), queries.SQL["folder_files"])
