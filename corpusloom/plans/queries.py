@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 import shutil
 from collections.abc import Callable
 
@@ -709,19 +710,23 @@ _AT_ONCE = 8_000
 @query(f"select {_FOLDER} as folder, 'Implement Unit' || (uuid % 3) || 'New.' || chr(10) as instruction, null::varchar as solution, null::varchar as absent, uuid as number, 'Unit' || (uuid % 3) as class_name, true as solvable, '#!/bin/bash' || chr(10) as test from kernel_rows")
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's folder written to storage and read back: files by name, the TOML description by its schema, and
-    result files with their detail.  Storage holds at most _AT_ONCE folders at a time, each about eleven blocks of it."""
-    at, waved, kept = place(spark, "tasks").removeprefix("file://"), place(spark, "waves"), place(spark, "files")
+    result files with their detail.  Storage holds some _AT_ONCE folders at a time, each about eleven blocks of it: when
+    they are read they are renamed and written over, all files of them, for the next records."""
+    at, spare = (place(spark, name).removeprefix("file://") for name in ("tasks", "spare"))
+    waved, kept = place(spark, "waves"), place(spark, "files")
     numbers = read_table(spark, sf_dir, "kernel_rows", "uuid")
     waves = max(1, -(-numbers.count() // _AT_ONCE))
+    os.makedirs(spare)
     numbers.withColumn("wave", F.pmod(F.xxhash64("uuid"), F.lit(waves))).repartition("wave").write.partitionBy("wave").parquet(waved)
-    cores = spark.sparkContext.defaultParallelism
+    placed, cores = spark.read.schema("uuid long, wave long").parquet(waved), spark.sparkContext.defaultParallelism
     for wave in range(waves):
-        own = spark.read.schema("uuid long, wave long").parquet(waved).where(F.col("wave") == wave).select("uuid")
-        folders.write_folders(pipelines.task_files(made.programs(own.repartition(cores))), at)
+        own = placed.where(F.col("wave") == wave).select("uuid")
+        folders.write_folders(pipelines.task_files(made.programs(own.repartition(cores))), at, spare)
         folders.read_files(spark, at).write.mode("append").option("compression", "zstd").parquet(kept)
-        shutil.rmtree(at)
+        os.replace(at, f"{spare}/{wave}")
+    shutil.rmtree(spare)
     files = spark.read.schema("folder string, path string, text string").parquet(kept)
-    read = folders.read_records(spark, at, [INSTRUCTION_FILE, SOLUTION_FILE, DESCRIPTION_FILE, "absent"], files)
+    read = folders.read_records(spark, at, [INSTRUCTION_FILE, SOLUTION_FILE, DESCRIPTION_FILE, "absent"], files).repartition(max(waves, cores))  # else few tasks parse all descriptions
     described = F.from_json(registry.json_of_toml(F.col(f"`{DESCRIPTION_FILE}`")), "metadata struct<uuid: bigint, module_name: string>")
     results = folders.read_results(spark, at, SOLVE_SCRIPT, TEST_SCRIPT, files).select("folder", F.startswith("result", F.lit("#!/bin/bash")).alias("solvable"), F.col("detail").alias("test"))
     listed = folders.list_folders(spark, at, files)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import shutil
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,41 +21,117 @@ def files_of(df: DataFrame, folder: Column, files: dict[str, Column]) -> DataFra
     return df.select(folder.alias("folder"), F.explode(entries).alias("f")).select("folder", "f.path", F.coalesce("f.text", F.lit("")).alias("text"), F.col("f.path").endswith(".sh").alias("executable"))
 
 
-def write_folders(files: DataFrame, root: str) -> None:
+def write_folders(files: DataFrame, root: str, spare: str | None = None) -> None:
     """Replace *root* with the folders, files written by the tasks that hold them.
 
     *root* must be a path that all executors mount.  The folders are written beside it and put in its place when all
     are there, so a job that fails leaves what there was.
+
+    Folders that were written so before and are in folders of *spare*, on the same file system, are used up: they are
+    renamed and their files written over.  New files and directories can be dear where many were removed lately, as on
+    ext4 without a journal (README).
     """
-    aim, root = root.rstrip("/"), f"{root.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
-    os.makedirs(root)
+    aim, beside = root.rstrip("/"), f"{root.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
+    whole, aside = f"{beside}/whole", f"{beside}/aside"
+    os.makedirs(whole)
+    os.makedirs(aside)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made, top, end = set(), os.path.normpath(root) + os.sep, f".part{os.getpid()}"
+        spares = _spares(spare, TaskContext.get().partitionId()) if spare else iter(())
+        name, own, size = "", {}, 0
         for frame in frames:
             for folder, path, text, executable in frame.itertuples(index=False):
-                target = os.path.normpath(os.path.join(root, folder, path))
-                if not target.startswith(top):
+                inside = os.path.normpath(os.path.join(folder, path))
+                if inside.startswith(("/", "../")) or inside in (".", ".."):
                     raise ValueError(f"path leaves the folder: {path}")
-                below = os.path.dirname(target)
-                if below not in made:
-                    os.makedirs(below, exist_ok=True)
-                    made.add(below)
-                part = target + end
-                fd = os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o644)
-                with open(fd, "wb", buffering=0) as f:
-                    f.write(text.encode("utf-8"))
-                    os.fchmod(fd, 0o755 if executable else 0o644)
-                os.replace(part, target)  # a task that runs twice leaves whole files
-            made.clear()
+                first, _, rest = inside.partition("/")
+                if own and (first != name or size >= _BATCH or "" in {rest, *own}):
+                    _put(own, name, whole, aside, spares)
+                    own, size = {}, 0
+                name, own[rest] = first, (content := text.encode("utf-8"), 0o755 if executable else 0o644)
+                size += len(content)
             yield pd.DataFrame({"n": [len(frame)]})
+        if own:
+            _put(own, name, whole, aside, spares)
 
     try:
         files.select("folder", "path", "text", "executable").mapInPandas(write, "n long").agg(F.sum("n")).collect()
         shutil.rmtree(aim, ignore_errors=True)
-        os.replace(root, aim)
+        os.replace(whole, aim)
+        for used in os.scandir(spare) if spare else ():
+            if not any(os.scandir(used)):
+                os.rmdir(used)
     finally:
-        shutil.rmtree(root, ignore_errors=True)
+        shutil.rmtree(beside, ignore_errors=True)
+
+
+def _spares(spare: str, task: int) -> Iterator[str]:
+    """The folders in the folders of *spare*; each task begins elsewhere, since one that is taken is passed over."""
+    found = sorted(e.path for d in os.scandir(spare) for e in os.scandir(d) if e.is_dir(follow_symlinks=False))
+    start = int(len(found) * (task * 0.618 % 1))
+    yield from found[start:]
+    yield from found[:start]
+
+
+def _put(files: dict[str, tuple[bytes, int]], name: str, root: str, aside: str, spares: Iterator[str]) -> None:
+    """Put *files*, (content, mode) by path, into the folder *name* of *root*; at the path "" is a file of that name.
+
+    They are written *aside* and moved when all are whole: the folder at once, or file by file where it is there, since
+    the task runs twice or another has files of it too.
+    """
+    own, kept = f"{aside}/{uuid.uuid4().hex}", set()
+    if "" in files:
+        _write(own, *files[""])
+        os.replace(own, f"{root}/{name}")
+        return
+    for taken in spares:
+        try:
+            os.rename(taken, own)
+        except FileNotFoundError:  # another task has it
+            continue
+        old = set(_paths(own))
+        kept = old & files.keys()
+        for path in old - kept:
+            os.unlink(f"{own}/{path}")
+            while (path := os.path.dirname(path)) and not os.listdir(f"{own}/{path}"):
+                os.rmdir(f"{own}/{path}")
+        break
+    else:
+        os.mkdir(own)
+    made = {"", *map(os.path.dirname, kept)}
+    for path, (content, mode) in files.items():
+        if (below := os.path.dirname(path)) not in made:
+            os.makedirs(f"{own}/{below}", exist_ok=True)
+            made.add(below)
+        _write(f"{own}/{path}", content, mode)
+    try:
+        os.rename(own, f"{root}/{name}")
+    except OSError as e:
+        if e.errno not in (errno.EEXIST, errno.ENOTEMPTY):
+            raise
+        for path in files:
+            os.makedirs(os.path.dirname(f"{root}/{name}/{path}"), exist_ok=True)
+            os.replace(f"{own}/{path}", f"{root}/{name}/{path}")
+
+
+def _write(target: str, content: bytes, mode: int) -> None:
+    """A file of this content, over the one that is there: emptied first, it would get its blocks as soon as it is closed."""
+    with open(os.open(target, os.O_WRONLY | os.O_CREAT, mode), "wb", buffering=0) as f:
+        f.write(content)
+        found = os.fstat(f.fileno())
+        if found.st_size > len(content):
+            f.truncate(len(content))
+        if found.st_mode & 0o777 != mode:
+            os.fchmod(f.fileno(), mode)
+
+
+def _paths(base: str, within: str = "") -> Iterator[str]:
+    """Paths in *base* of all files at and below *within*."""
+    for entry in os.scandir(f"{base}/{within}"):
+        if entry.is_dir(follow_symlinks=False):
+            yield from _paths(base, f"{within}{entry.name}/")
+        else:
+            yield f"{within}{entry.name}"
 
 
 def _below(base: str, within: str) -> Iterator[tuple[str, bytes]]:

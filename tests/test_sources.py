@@ -170,3 +170,45 @@ def test_folders_in_waves(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(queries, "_AT_ONCE", 30)
     same(queries.folder_files(spark, sf_dir), connect(sf_dir), queries.SQL["folder_files"])
+
+
+def test_spare_folders_are_written_over(spark, tmp_path):
+    """Renamed and written over in place, they hold what new ones would, also where a folder's files lie in several tasks."""
+    root, spare = tmp_path / "t", tmp_path / "spare"
+    spare.mkdir()
+
+    def write(names, files, parts):
+        rows = spark.createDataFrame([(n, p, f"{n} {t}", p.endswith(".sh")) for n in names for p, t in files.items()], "folder string, path string, text string, executable boolean")
+        folders.write_folders(rows.repartition(parts), str(root), str(spare))
+        found = {str(p.relative_to(root)): p for p in root.rglob("*")}
+        assert {n: p.read_text() for n, p in found.items() if p.is_file()} == {f"{n}/{p}": f"{n} {t}" for n in names for p, t in files.items()}
+        assert {n for n, p in found.items() if p.is_dir()} == {f"{n}/{p}".rsplit("/", k)[0] for n in names for p in files for k in range(1, p.count("/") + 2)}
+        assert all(bool(p.stat().st_mode & 0o111) == n.endswith(".sh") for n, p in found.items() if p.is_file())
+        return {p.stat().st_ino for n, p in found.items() if n.endswith(("/x/1", "/x/2.sh"))}
+
+    first = write([f"a{k}" for k in range(20)], {"x/1": "long " * 2000, "x/2.sh": "two", "y/z/3": "three", "4": "four", ".h/5": "five"}, 1)
+    root.rename(spare / "0")
+    second = write(["b0", "b1", "b2"], {"x/1": "é", "x/2.sh": "longer than it was", "4/6": "six"}, 1)
+    assert second <= first and len(second) == 6 and len(list(spare.glob("*/*"))) == 17
+    root.rename(spare / "1")
+    write([f"c{k}" for k in range(30)], {"x/1": "1", "x/2.sh": "2", "y/z/3": "3"}, 5)
+    assert not list(spare.iterdir()) and sorted(p.name for p in tmp_path.iterdir()) == ["spare", "t"]
+
+
+def test_waves_use_the_folders_again(spark, sf_dir, monkeypatch):
+    """Only the first waves make folders anew."""
+    import glob
+
+    from corpusloom.plans import queries
+
+    spares, write = [], folders.write_folders
+
+    def counted(files, root, spare):
+        held = len(glob.glob(f"{spare}/*/*"))
+        write(files, root, spare)
+        spares.append((held, held - len(glob.glob(f"{spare}/*/*")), len(glob.glob(f"{root}/*"))))
+
+    monkeypatch.setattr(queries, "_AT_ONCE", 25)
+    monkeypatch.setattr(folders, "write_folders", counted)
+    assert queries.folder_files(spark, sf_dir).count() == sum(n for _, _, n in spares) == 100
+    assert len(spares) == 4 and all(used == min(held, n) for held, used, n in spares)
